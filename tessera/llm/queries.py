@@ -3,7 +3,32 @@
 from __future__ import annotations
 
 from tessera.llm.arrow import tables
+from tessera.llm.fingerprints import fingerprint_documents
+from tessera.llm.mixing import mix_documents
+from tessera.llm.quality import grade_documents, graded
+from tessera.llm.sharding import shard_documents
 from tessera.llm.token_counts import count_tokens
+from tessera.llm.toxicity import toxicity
+
+
+def op2_quality(spark, sf_dir):
+    return grade_documents(tables(spark, sf_dir, "documents"), graded(tables(spark, sf_dir, "labels")))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op5_mixing(spark, sf_dir):
+    return mix_documents(tables(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark, sf_dir):
+    return fingerprint_documents(tables(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark, sf_dir):
+    return shard_documents(tables(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark, sf_dir):
@@ -12,5 +37,12 @@ def op9_token_counts(spark, sf_dir):
     return count_tokens(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op9_token_counts": op9_token_counts}
+QUERIES = {
+    "op2_quality": op2_quality,
+    "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_sharding": op7_sharding,
+    "op9_token_counts": op9_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
