@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 from tessera.llm.arrow import tables
+from tessera.llm.decontaminate import find_passages
 from tessera.llm.fingerprints import fingerprint_documents
+from tessera.llm.html_text import extract_pages
 from tessera.llm.mixing import mix_documents
+from tessera.llm.ngram_join import jaccard_components
+from tessera.llm.pii import pseudonymise
 from tessera.llm.quality import grade_documents, graded
 from tessera.llm.sharding import shard_documents
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.toxicity import toxicity
 
 
+def op1_html_text(spark, sf_dir):
+    return extract_pages(tables(spark, sf_dir, "pages"))
+
+
 def op2_quality(spark, sf_dir):
     return grade_documents(tables(spark, sf_dir, "documents"), graded(tables(spark, sf_dir, "labels")))
 
 
+def op3_pii(spark, sf_dir):
+    return pseudonymise(tables(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
@@ -31,18 +43,30 @@ def op7_sharding(spark, sf_dir):
     return shard_documents(tables(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark, sf_dir):
+    return find_passages(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return count_tokens(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_ngram_join(spark, sf_dir):
+    return jaccard_components(tables(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_sharding": op7_sharding,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}

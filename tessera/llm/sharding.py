@@ -112,3 +112,15 @@ def shard_documents(documents: DataFrame, shards: list[Shard] | int = 8, grown:
     )
     out = add_slots(rows, [F.col("_key"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def with_shards(documents: DataFrame, shards: list[Shard] | int = 8) -> DataFrame:
+    """The documents, all columns kept, with size, text_crc32, law and shard; nothing is shuffled."""
+    shards = tree(shards) if isinstance(shards, int) else shards
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return documents.withColumns({
+        "size": text_size(F.col("text")),
+        "text_crc32": F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")),
+        "law": F.lit("key"),
+        "shard": descend(key, shards).cast("int"),
+    })

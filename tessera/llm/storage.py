@@ -1,15 +1,5 @@
 """Cutting lineage in the shared folder that the cluster names."""
 
-from __future__ import annotations
+from tessera.operators.components import checkpointed
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the folder of spark.checkpoint.dir; only a session without one gets a folder of its own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint()
+__all__ = ["checkpointed"]
