@@ -139,8 +139,11 @@ def fingerprint_documents(documents: DataFrame, parts: int | None = None, k: int
     placed = rows_.withColumn("key", key)
     splits = placed.agg(F.percentile_approx(F.col("key").cast("double"), [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
     bounds = [float("-inf"), *sorted(set(splits)), float("inf")]
-    placed = Bucketizer(splits=bounds, inputCol="at", outputCol="bucket").transform(placed.withColumn("at", F.col("key").cast("double")))
-    placed = placed.withColumn("part", (F.lit(len(bounds)) - F.col("bucket")).cast("int")).drop("at", "bucket")
+    if len(bounds) > 2:
+        placed = Bucketizer(splits=bounds, inputCol="at", outputCol="bucket").transform(placed.withColumn("at", F.col("key").cast("double")))
+        placed = placed.withColumn("part", (F.lit(len(bounds)) - F.col("bucket")).cast("int")).drop("at", "bucket")
+    else:
+        placed = placed.withColumn("part", F.lit(0))
     heads = placed.groupBy("part").agg(F.max("key").alias("head")).orderBy("part").collect()  # at most `parts` rows
     if not heads:
         return spark.createDataFrame([], f"doc_id {id_type}, {RESULT}")

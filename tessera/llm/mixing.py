@@ -101,6 +101,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.nda
             rest -= n * int(lengths[i])
     if 0 < rest < DP_WIDTH:
         take = take + knapsack(lengths, counts - take, rest)
+    if budget < DP_WIDTH and int((take * lengths).sum()) < budget:
+        # a budget this small is fitted as a whole if that comes nearer
+        whole = knapsack(lengths, counts, budget)
+        take = whole if int((whole * lengths).sum()) > int((take * lengths).sum()) else take
     return take
 
 

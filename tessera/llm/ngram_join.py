@@ -480,15 +480,15 @@ def keep_one_of_each(documents: DataFrame, n: int = 4, percent: int = 85) -> Dat
     count as one document for each distinct text.
     """
     found = checkpointed(jaccard_components(documents, n, percent).select("doc_id", "component_id"))
-    spare = found.filter("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    spare = found.filter("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("__kept_id")).distinct()
     spare = F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare
-    kept = documents.join(spare, documents["doc_id"] == spare["_id"], "left_anti")
+    kept = documents.join(spare, documents["doc_id"] == spare["__kept_id"], "left_anti")
     unclear = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("component_id")).filter("n > 1 or doc_id is null and component_id is null")
-    unclear = checkpointed(unclear.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_often")))
+    unclear = checkpointed(unclear.select(F.col("doc_id").alias("__kept_id"), F.lit(True).alias("__kept_often")))
     if not unclear.head(1):
         # a row without an id whose component has one is that component's
         return kept.filter("doc_id is not null or text is null or text = ''") if found.filter("doc_id is null").head(1) else kept
     often = unclear.count()
     unclear = F.broadcast(unclear) if often <= BROADCAST_ROWS else unclear
-    marked = kept.join(unclear, kept["doc_id"].eqNullSafe(unclear["_id"]), "left").drop("_id")
-    return marked.filter("_often is null").unionByName(marked.filter("_often").dropDuplicates(["doc_id", "text"])).drop("_often")
+    marked = kept.join(unclear, kept["doc_id"].eqNullSafe(unclear["__kept_id"]), "left").drop("__kept_id")
+    return marked.filter("__kept_often is null").unionByName(marked.filter("__kept_often").dropDuplicates(["doc_id", "text"])).drop("__kept_often")
