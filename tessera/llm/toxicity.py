@@ -29,6 +29,8 @@ SUBSTITUTES = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Harmless phrases around words that can insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "circus clown", "pond scum", "soap scum", "sore loser")
 MIN_HEAD, MAX_HEAD = 3, 8
+#: Least weights of patterns among which the fit chooses.
+LEAST_WEIGHTS = (2.0, 3.0, 4.0)
 
 _SUBSTITUTED = re.compile(r"[0134578@$!|+](?=[^\W\d_])|(?<=[^\W\d_])[0134578@]")
 _APART = re.compile(r"[\W_]+")
@@ -79,33 +81,38 @@ class Lexicon:
         return found
 
     def measure(self, matcher, folded: str) -> float:
-        """Summed weight of the hits, the heaviest at each word, by length."""
-        hits: dict[int, float] = {}
+        """Summed weight of the patterns hit, the heaviest at each word, by length. A pattern counts once, as it was weighed by documents."""
+        hits: dict[int, tuple[float, int]] = {}
         spared: list[tuple[int, int]] = []
         for end, (size, weight) in matcher.iter(folded):
             start = end - size + 1
             if weight is None:
                 spared.append((start, end))
-            else:
-                hits[start] = max(weight, hits.get(start, 0.0))
-        total = math.fsum(w for at, w in hits.items() if not any(a <= at < b for a, b in spared))
+            elif folded[end] == " " or folded[end + 1] != " ":  # a head needs more of the word
+                hits[start] = max((weight, size), hits.get(start, (0.0, 0)))
+        once = {folded[at : at + size]: w for at, (w, size) in hits.items() if not any(a <= at < b for a, b in spared)}
+        total = math.fsum(once.values())
         return total / math.log(math.e + folded.count(" ") / 200) if total else 0.0
 
     def score(self, x: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * x + self.offset))))
 
 
-def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, min_toxic: int = 3, min_weight: float = 2.5) -> dict[str, float]:
-    """Weights of the patterns that tell: log-odds of toxic to clean documents.
+def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, min_toxic: int = 3, min_weight: float = 3.0, sure: float = 8.0) -> dict[str, float]:
+    """Weights of the patterns that tell: log-odds of toxic to clean documents, less for those that chance may have made.
 
-    A head gives way to a longer pattern that is in nearly the same documents;
+    The weight is full where chance would put so many toxic documents under the
+    pattern with a probability of 10 ** -sure or less. A head gives way to a longer pattern that is in nearly the same documents;
     a longer pattern goes if a head kept weighs about as much.
     """
     kept = {}
     for p, t, c in counts:
         w = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if t >= min_toxic and w >= min_weight:
-            kept[p] = (t, c, w)
+        # Chernoff bound of the chance of t toxic documents of t + c
+        base = toxic / (toxic + clean)
+        chance = -t * math.log10(base) - (c * math.log10(1 - base) if c else 0.0) - (math.lgamma(t + c + 1) - math.lgamma(t + 1) - math.lgamma(c + 1)) / math.log(10)
+        if t >= min_toxic and w >= min_weight and chance > 0:
+            kept[p] = (t, c, w * min(1.0, chance / sure))
     heads = {p: [p[:k] for k in range(MIN_HEAD + 1, len(p)) if p[:k] in kept] for p in kept}
     loose = {h for p, hs in heads.items() for h in hs if kept[p][0] >= 0.98 * kept[h][0] and kept[p][1] <= kept[h][1]}
     return {p: w for p, (_, _, w) in kept.items() if p not in loose and not any(h not in loose and w <= kept[h][2] + 0.3 for h in heads[p])}
@@ -134,7 +141,13 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, keep, fit
 
 
 def learn_lexicon(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, size: int = 20_000) -> Lexicon:
-    """A lexicon of at most `size` patterns from rows (text, y) with y 1 for toxic; empty if a class is missing."""
+    """A lexicon of at most `size` patterns from rows (text, y) with y 1 for toxic; empty if a class is missing.
+
+    The patterns come from three quarters of the rows; the rest give the curve
+    and choose the least weight of a pattern.
+    """
+    quarter = F.pmod(F.xxhash64("text", F.lit("curve")), F.lit(4))
+    rows, rest = rows.filter(quarter != 0), rows.filter(quarter == 0)
 
     def count(batches):
         seen: Counter = Counter()
@@ -151,16 +164,27 @@ def learn_lexicon(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, siz
     if not found or found[0][0] or not found[0][1] or not found[0][2]:
         return Lexicon({}, exceptions)
     _, toxic, clean = found[0]
-    lexicon = Lexicon(choose(found[1:], toxic, clean), exceptions)
+    tried = [Lexicon(choose(found[1:], toxic, clean, min_weight=w), exceptions) for w in LEAST_WEIGHTS]
 
     def measure(batches):
-        matcher = lexicon.matcher()
+        matchers = [x.matcher() for x in tried]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.measure(matcher, fold(t)) for t in b.column("text").to_pylist()], pa.float64()), b.column("y")], ["x", "y"])
-
-    points = np.array([tuple(r) for r in rows.mapInArrow(measure, "x double, y int").collect()], dtype=float)
-    slope, offset = calibrate(points[:, 0], (points[:, 1] == 1).astype(float))
-    return Lexicon(lexicon.weights, exceptions, slope, offset)
+            folded = [fold(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([[x.measure(m, f) for x, m in zip(tried, matchers, strict=True)] for f in folded], pa.list_(pa.float64())), b.column("y")], ["x", "y"])
+
+    points = [(r["x"], r["y"]) for r in rest.mapInArrow(measure, "x array<double>, y int").collect()]
+    y = np.array([p[1] == 1 for p in points], dtype=float)
+    if len(set(y)) < 2:
+        return tried[1]
+    best = None
+    for k, lexicon in enumerate(tried):
+        x = np.array([p[0][k] for p in points])
+        slope, offset = calibrate(x, y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+        if best is None or loss < best[0]:
+            best = loss, Lexicon(lexicon.weights, exceptions, slope, offset)
+    return best[1]
 
 
 def score_toxicity(documents: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,7 +130,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_folding_and_exceptions():
-    lexicon = toxicity.Lexicon({toxicity.fold("trash"): 6.0, toxicity.fold("idiot").rstrip(): 6.0}, slope=1.0, offset=-3.0)
+    lexicon = toxicity.Lexicon({toxicity.fold("trash"): 6.0, toxicity.fold("idiot").rstrip(): 6.0, toxicity.fold("idiot"): 6.0}, slope=1.0, offset=-3.0)
     m = lexicon.matcher()
     x = lambda t: lexicon.measure(m, toxicity.fold(t))
     assert x("1d10t") > 0 and x("IDІOT!") > 0 and x("ídiot") > 0 and x("tr4$h") > 0 and x("ｔｒａｓｈ") > 0 and x("tra​sh") > 0
