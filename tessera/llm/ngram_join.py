@@ -23,7 +23,6 @@ task's arrays. Large tiles are split into pairs of blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +51,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _byte_table() -> np.ndarray:
-    """A random odd 64-bit value of each byte, A-Z as a-z."""
-    t = mix(np.arange(1, 257, dtype=np.uint64) * _A) | np.uint64(1)
-    t[65:91] = t[97:123]
-    return t
+#: A random odd 64-bit value of each byte, A-Z as a-z.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _A) | np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]
 
 
 _POWERS: list = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -83,7 +79,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_byte_table()[data] * up, out=total[1:])
+    np.cumsum(_BYTES[data] * up, out=total[1:])
     h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _A)
     stops = np.cumsum(np.array([len(t) + 1 for t in texts]))
     return h, np.diff(np.searchsorted(starts, stops), prepend=0)
