@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text that a worker holds as Python objects at a time.
-CHUNK_CHARS = 2_000_000
+#: Bytes of text that a worker works on at a time; numpy arrays of some of the operators are 50 times as large.
+CHUNK_CHARS = 500_000
+#: Rows of an Arrow batch, unless the session sets fewer: with whole texts, ten thousand are too many for small executors.
+BATCH_ROWS = 1_000
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow of a function over bounded slices."""
 
@@ -38,4 +46,5 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
         for part in chunks(batches, text):
             yield fn(part)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import chunks
+from tessera.llm.arrow import chunks, small_batches
 from tessera.llm.storage import checkpointed
 from tessera.operators.components import connected_components
 
 #: Classes on one side of a tile.
 BLOCK = 1024
 #: Keys that a task holds before it hands them on.
-HELD_KEYS = 2_000_000
+HELD_KEYS = 500_000
 #: Classes up to which the list of candidates is broadcast to the documents.
 BROADCAST_ROWS = 1_000_000
 
@@ -427,6 +427,7 @@ def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     each other; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     rows = documents.select("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     measured = checkpointed(rows.mapInArrow(_measure(n, percent), f"doc_id {id_type}, n_shingles long, sid long, bits binary"))
