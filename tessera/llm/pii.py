@@ -32,19 +32,23 @@ GIVEN = {
     "FC": ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Ольга"),
 }
 SYLLABLES = {"L": ("ba", "den", "fer", "gor", "hal", "kin", "lor", "man", "nes", "per", "ros", "sel", "tar", "van", "wil", "zor"), "C": ("ба", "вел", "гор", "дан", "жин", "кор", "лев", "мир", "нов", "пет", "рос", "сав", "тер", "фед", "чер", "шин")}
+_IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+_KEYWORDS = "password|passwd|token|secret|api_key"
+#: A further number that follows a phone number: SSN, phone, card.
+_NEXT = r"\d{3}-\d{2}-\d{4}(?![\d-])|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)|\d{4}(?:[ -]?\d{4}){3}(?![ -]?\d)"
 _NAME = rf"(?:{'|'.join((*MALE, *FEMALE))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 PATTERN = "|".join(
     [
         r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-        rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+        rf"(?<![\d.]){_IP}",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-        r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)",
+        rf"\+\d{{1,3}}(?:(?! {_IP})[ .-]?\(?\d{{1,4}}\)?){{2}}(?:(?! (?:{_IP}|{_NEXT}))[ .-]?\(?\d{{1,4}}\)?){{0,3}}(?!\d)",
         r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
         r"(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
         r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])",
         r"\bAKIA[0-9A-Z]{16}\b",
         r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-        r"(?<=[=: \"])(?<=(?:password|passwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}\"?)[A-Za-z0-9_+/.-]{8,}",
+        rf"(?<=[=: \"])(?<=(?i:{_KEYWORDS})\s{{0,2}}[=:]\s{{0,2}}\"?)[A-Za-z0-9_+/.-]{{8,}}",
         rf"\b{_NAME}",
     ]
 )
@@ -194,7 +198,7 @@ def _typed(matches: Column) -> Column:
 
 def _with_matches(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    hint = text.rlike(r"[0-9@]|(?i:password|token|secret|api_key)|" + "|".join(rf"{t}\b" for t in (*MALE, *FEMALE)))
+    hint = text.rlike(rf"[0-9@]|(?i:{_KEYWORDS})|" + "|".join(rf"{t}\b" for t in (*MALE, *FEMALE)))
     empty = F.array().cast("array<string>")
     return documents.select("doc_id", text.alias("text"), F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(empty).alias("m"))
 
