@@ -157,6 +157,27 @@ def block_pairs_overlap2(spark, sf_dir):
     return blocking.block_pairs(_blocks(spark, sf_dir), 2)
 
 
+def _whole_blocks(spark, sf_dir):
+    """Blocks of whole texts with the operator's own bounds."""
+    m = mentions(spark, sf_dir, None)
+    return blocking.token_blocks(m, T.tokenize_words(T.normalize_text(F.col("affil1"))))
+
+
+@query()
+def token_blocks_whole(spark, sf_dir):
+    return _whole_blocks(spark, sf_dir)
+
+
+@query()
+def block_pairs_whole(spark, sf_dir):
+    return blocking.block_pairs(_whole_blocks(spark, sf_dir))
+
+
+@query()
+def block_pairs_overlap2_whole(spark, sf_dir):
+    return blocking.block_pairs(_whole_blocks(spark, sf_dir), 2)
+
+
 # --- pair features
 
 

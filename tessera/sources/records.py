@@ -68,9 +68,10 @@ def as_records(df: DataFrame, text_col: str | None = None, id_col: str | None =
     return df.select(F.col(key).alias("id1"), filled_text(text).alias("affil1")).groupBy("id1").agg(F.max("affil1").alias("affil1"))
 
 
-def mentions(spark: SparkSession, sf_dir: str, width: int = 80) -> DataFrame:
-    """Short records: the beginnings of the documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id1"), F.substring(filled_text("text"), 1, width).alias("affil1"))
+def mentions(spark: SparkSession, sf_dir: str, width: int | None = 80) -> DataFrame:
+    """Short records: the beginnings of the documents; whole texts where width is None."""
+    text = filled_text("text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id1"), (text if width is None else F.substring(text, 1, width)).alias("affil1"))
 
 
 def profile(records: DataFrame, text_col: str = "affil1") -> DataFrame:
