@@ -123,6 +123,11 @@ def knn_enriched(spark, sf_dir):
     return blocking.enrich(blocking.knn(m, 5), m).select("src_id", "cand_id", "cosine_sim", "rank", "src_text", "cand_text")
 
 
+@query()
+def knn_whole_top20(spark, sf_dir):
+    return blocking.knn(mentions(spark, sf_dir, None), 20)
+
+
 @query(
     """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
 d AS (SELECT a.vec_id AS src_id, b.vec_id AS cand_id, round(list_dot_product(a.v, b.v), 6) AS cosine_sim FROM u a JOIN u b ON a.vec_id <> b.vec_id)
@@ -442,8 +447,8 @@ def k_sweep(spark, sf_dir):
 # --- entities
 
 
-def _extracted(spark, sf_dir, config=None):
-    return ner.extract_entities(mentions(spark, sf_dir, 400), config=config)
+def _extracted(spark, sf_dir, config=None, width=None):
+    return ner.extract_entities(mentions(spark, sf_dir, width), config=config)
 
 
 @query()
@@ -473,8 +478,18 @@ def tokens_merged(spark, sf_dir):
     return out.select("id1", "affil1", "affil_tokens_labeled", "affil_tokens", F.coalesce(F.col("total_entities").cast("int"), F.lit(0)).alias("total_entities"))
 
 
-def _acronym_entities(spark, sf_dir):
-    return _extracted(spark, sf_dir, ner.NerConfig(entity_types=("ORG",), model_type="acronyms"))
+@query()
+def tokens_labeled_whole(spark, sf_dir):
+    return _acronym_entities(spark, sf_dir, None).select("id1", ner.tokens_labeled(F.col("entities")).alias("affil_tokens_labeled"), F.col("total_entities").cast("int").alias("total_entities"))
+
+
+@query()
+def tokens_plain_whole(spark, sf_dir):
+    return _acronym_entities(spark, sf_dir, None).select("id1", ner.tokens_plain(F.col("entities")).alias("affil_tokens"))
+
+
+def _acronym_entities(spark, sf_dir, width=400):
+    return _extracted(spark, sf_dir, ner.NerConfig(entity_types=("ORG",), model_type="acronyms"), width)
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
