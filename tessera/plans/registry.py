@@ -254,6 +254,17 @@ def _gold(spark, sf_dir):
     return kept.alias("a").join(kept.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("src"), F.col("b.id").alias("cand"))
 
 
+def _copies(spark, sf_dir, pairs: DataFrame) -> DataFrame:
+    """Adds label 1 where the token sets of the two whole documents have a Jaccard of 0.7 or more, else 0. Judged for the pairs asked, so groups of any size cost no further pairs; two texts without tokens are no copies."""
+    tokens = F.array_distinct(T.tokenize_words(T.normalize_text(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    sets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens.alias("set"))
+    src = sets.select(F.col("id").alias("src_id"), F.col("set").alias("_a"))
+    cand = sets.select(F.col("id").alias("cand_id"), F.col("set").alias("_b"))
+    both = pairs.join(src, "src_id", "left").join(cand, "cand_id", "left")
+    alike = (F.size("_a") > 0) & (F.size(F.array_intersect("_a", "_b")) * 10 >= F.size(F.array_union("_a", "_b")) * 7)
+    return both.withColumn("label", F.coalesce(alike, F.lit(False)).cast("int")).drop("_a", "_b")
+
+
 def _labeled(spark, sf_dir):
     """Labelled pairs with a score that needs no model: the cosine to three digits."""
     p = blocking.knn(mentions(spark, sf_dir), 5).select("src_id", "cand_id", F.round("cosine_sim", 3).alias("score"))
@@ -270,6 +281,12 @@ def label_pairs(spark, sf_dir):
     return _labeled(spark, sf_dir).select("src_id", "cand_id", "score", "label")
 
 
+@query()
+def label_pairs_whole(spark, sf_dir):
+    p = blocking.knn(mentions(spark, sf_dir, None), 5).select("src_id", "cand_id", F.round("cosine_sim", 3).alias("score"))
+    return _copies(spark, sf_dir, p).select("src_id", "cand_id", "score", "label")
+
+
 @query(O.labeled("SELECT src_id, cand_id FROM l WHERE label = 1"))
 def label_positives_semi(spark, sf_dir):
     return labeling.matching(blocking.knn(mentions(spark, sf_dir), 5).select("src_id", "cand_id"), _gold(spark, sf_dir))
@@ -337,7 +354,7 @@ _MODEL_FEATURES = ("cosine_sim", "token_jaccard", "token_cosine")
 
 def _train(spark, sf_dir, kind: str, **options):
     p = features.token_features(features.normalized_pairs(_pairs(spark, sf_dir, 5))).select("src_id", "cand_id", *_MODEL_FEATURES)
-    return matcher.train_matcher(labeling.label_pairs(p, _gold(spark, sf_dir)), _MODEL_FEATURES, kind, **options)
+    return matcher.train_matcher(_copies(spark, sf_dir, p), _MODEL_FEATURES, kind, **options)
 
 
 def _predictions(spark, sf_dir, kind: str, **options):

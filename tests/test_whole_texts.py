@@ -41,3 +41,11 @@ def test_terms_and_acronyms_after_400_characters_count(spark, docs):
     assert {r["id1"]: r["affil_tokens_labeled"] for r in labeled} == {i: w and f"{w}<ORG>" for i, w in want.items()}
     ends = {r["id1"]: r["n"] for r in registry.QUERIES["ner_backoff"](spark, path).selectExpr("id1", "total_entities AS n").collect()}
     assert all(ends[i] for i in range(130))
+
+
+def test_labels_of_copies_in_large_groups(spark, docs):
+    path, texts = docs
+    got = registry.QUERIES["label_pairs_whole"](spark, path).collect()
+    sets = [set(t.lower().split()) for t in texts]
+    assert got and all(r["label"] == int(10 * len(sets[r["src_id"]] & sets[r["cand_id"]]) >= 7 * len(sets[r["src_id"]] | sets[r["cand_id"]])) for r in got)
+    assert sum(r["label"] for r in got if r["src_id"] >= 20) == 110 * 5
