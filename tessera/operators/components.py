@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges up to which the centres of stars are broadcast to their edges.
+BROADCAST_EDGES = 250_000
+#: Edges of a centre from which it is joined apart from the others.
+HOT_CENTRE = 100_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session without one gets a folder of its own, once; a cluster must name one that all its machines see."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the folder of spark.checkpoint.dir; only a session without one gets a folder of its own."""
+    """The rows of df, written once to the shared folder, so that a lost executor costs no more than this step's reading."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -20,6 +37,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
+def _with_least(rows: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    """rows (u, v) with the `m` of their u. least: (u, m, n), n being the edges of u; few: whether it may be broadcast.
+
+    Beyond that, centres of many edges (at most one for each HOT_CENTRE edges)
+    are broadcast and only the others are dealt by u, so no task gets all the
+    edges of a large star.
+    """
+    if few:
+        return rows.join(F.broadcast(least.select("u", "m")), "u")
+    hot = least.filter(F.col("n") >= HOT_CENTRE).select("u", "m")
+    marked = rows.join(F.broadcast(hot), "u", "left")
+    cold = marked.filter("m is null").drop("m").join(least.filter(F.col("n") < HOT_CENTRE).select("u", "m"), "u")
+    return marked.filter("m is not null").select("u", "v", "m").unionAll(cold.select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex with an edge to another; component is the least vertex reachable.
 
@@ -33,11 +65,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     e = checkpointed(e)
     state = _state(e)
     for _ in range(max_rounds):
+        few = state[0] <= BROADCAST_EDGES
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.filter("v > u"), least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, few).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         after = _state(e)
         if after == state:
