@@ -2,10 +2,12 @@
 
 Targets come from weights (water-filling below a cap). A source's target is
 met by whole passes over all its documents and by a budget for the rest. The
-rest is fitted on counts of documents by exact token length: an equal share of
-every length first, then ever shorter single documents, and what remains by a
-bounded-knapsack dynamic programme over the lengths still at hand. Which
-documents of a length are taken follows from a seeded hash.
+rest is fitted on counts of documents by exact token length. A budget of at most
+DP_WIDTH words is fitted by a bounded-knapsack dynamic programme alone, which
+finds the best sum; a greater one takes an equal share of every length first,
+then ever shorter single documents, and always ends with the programme over the
+lengths still at hand, so that less than the shortest document left is missed.
+Which documents of a length are taken follows from a seeded hash.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import checkpointed
+from tessera.operators.components import checkpointed
 
-#: Widest remainder that the dynamic programme fits, in words.
-DP_WIDTH = 1 << 14
+#: Budgets that the dynamic programme fits as a whole, in words; of a greater one it fits the last half of this, or the shortest document's length if that is more.
+DP_WIDTH = 1 << 18
 #: Documents of one source and length that a single window may rank.
-CELL_ROWS = 4096
+CELL_ROWS = 256
+#: Sources and lengths up to which the fitted budgets are broadcast to the documents.
+BROADCAST_CELLS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -47,32 +51,35 @@ def water_fill(sizes: list[int], weights: list[float], share: float = 1.5, cap:
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take so that their sum comes as near the budget as it can from below; budget < DP_WIDTH.
+    """How many of each length to take so that their sum comes as near the budget as it can from below.
 
-    reached[v] is the first length (by index) with which the sum v came about;
-    each length is added in binary bundles, so its count bounds it.
+    reached[v] is the first bundle with which the sum v came about; each length
+    is added in binary bundles, so its count bounds it. Time and memory grow
+    with the budget, which the caller bounds.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0:
         return take
-    reached = np.full(budget + 1, -2, dtype=np.int64)  # bundle that made the sum; -1 for 0
+    reached = np.full(budget + 1, -2, dtype=np.int32)  # bundle that made the sum; -1 for 0
     reached[0] = -1
     bundles: list[tuple[int, int]] = []
+    top = 0  # the greatest sum so far
     for i, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         if length <= 0 or length > budget:
             continue
         left, size = min(count, budget // length), 1
-        while left > 0:
-            size_now = min(size, left)
-            left -= size_now
+        while left > 0 and reached[budget] < -1:
+            n = min(size, left)
+            left -= n
             size *= 2
-            step = size_now * length
-            if step <= budget:
-                old = reached >= -1
-                new = np.zeros_like(old)
-                new[step:] = old[:-step]
-                reached[new & ~old] = len(bundles)
-                bundles.append((i, size_now))
+            step = n * length
+            upto = min(budget, top + step)
+            old = reached[: upto + 1] >= -1
+            new = np.zeros_like(old)
+            new[step:] = old[: upto + 1 - step]
+            reached[: upto + 1][new & ~old] = len(bundles)
+            bundles.append((i, n))
+            top = int(np.flatnonzero(reached[: upto + 1] >= -1)[-1])
         if reached[budget] >= -1:
             break
     v = int(np.flatnonzero(reached >= -1)[-1])
@@ -89,23 +96,18 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.nda
     budget = int(min(round(budget), total))
     if total == 0 or budget <= 0:
         return np.zeros(len(lengths), dtype=np.int64)
-    take = (counts * (budget / total)).astype(np.int64)
-    take = np.minimum(take, counts)
+    if budget == total:
+        return counts.copy()
+    if budget <= DP_WIDTH:
+        return knapsack(lengths, counts, budget)
+    take = np.minimum((counts * (budget / total)).astype(np.int64), counts)
     rest = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
-        if rest < DP_WIDTH:
-            break
-        n = min(int(counts[i] - take[i]), (rest - DP_WIDTH // 2) // int(lengths[i])) if lengths[i] > 0 else 0
-        if n > 0:
-            take[i] += n
-            rest -= n * int(lengths[i])
-    if 0 < rest < DP_WIDTH:
-        take = take + knapsack(lengths, counts - take, rest)
-    if budget < DP_WIDTH and int((take * lengths).sum()) < budget:
-        # a budget this small is fitted as a whole if that comes nearer
-        whole = knapsack(lengths, counts, budget)
-        take = whole if int((whole * lengths).sum()) > int((take * lengths).sum()) else take
-    return take
+        n = min(int(counts[i] - take[i]), max(0, rest - DP_WIDTH // 2) // int(lengths[i])) if lengths[i] > 0 else 0
+        take[i] += n
+        rest -= n * int(lengths[i])
+    # what is left is less than DP_WIDTH / 2 plus the shortest document left
+    return take + knapsack(lengths, counts - take, rest)
 
 
 def plan(histogram: DataFrame, targets: DataFrame) -> DataFrame:
@@ -123,16 +125,36 @@ def plan(histogram: DataFrame, targets: DataFrame) -> DataFrame:
         extra = fit_budget(lengths, counts, target - passes * total) if passes < 2 else np.zeros(len(counts), dtype=np.int64)
         return pd.DataFrame({"source_key": group["source_key"], "size": lengths, "n": counts, "passes": passes, "extra": extra, "source_size": total, "target": target})
 
-    joined = histogram.join(F.broadcast(targets), "source_key")
-    return joined.groupBy("source_key").applyInPandas(fit, "source_key string, size long, n long, passes int, extra long, source_size long, target double")
+    return histogram.join(targets, "source_key").groupBy("source_key").applyInPandas(fit, "source_key string, size long, n long, passes int, extra long, source_size long, target double")
+
 
+def source_targets(histogram: DataFrame, weights: tuple[float, ...], share: float, cap: float = 2.0) -> DataFrame:
+    """(source_key, target), as water_fill has it, for any number of sources.
 
-def source_targets(histogram: DataFrame, weights: tuple[float, ...], share: float) -> DataFrame:
-    """(source_key, target). One row per source comes to the driver: the list of sources is part of the mix's definition."""
-    sizes = histogram.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()
-    rows = sorted(((r["source_key"], int(r["words"])) for r in sizes), key=lambda r: (r[0] == NULL_KEY, r[0]))
-    target = water_fill([w for _, w in rows], [weights[i % len(weights)] for i in range(len(rows))], share)
-    return histogram.sparkSession.createDataFrame([(k, float(t)) for (k, _), t in zip(rows, target, strict=True)], "source_key string, target double")
+    Sources are numbered in ranges of their order: one count per range comes to
+    the driver. The unit of weight only grows while sources meet their cap, so
+    a round needs two sums, and the sources at their cap follow from the unit.
+    """
+    sizes = histogram.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("words"))
+    ordered = sizes.orderBy(F.col("source_key") == NULL_KEY, "source_key").withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    ordered = checkpointed(ordered)
+    firsts, first = [], 0
+    for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        firsts.append((r["_part"], first))
+        first += r["n"]
+    firsts = histogram.sparkSession.createDataFrame(firsts, "_part int, _first long")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_first") + F.col("_in")) % len(weights) + 1).cast("int"))
+    rows = ordered.join(F.broadcast(firsts), "_part").select("source_key", "words", weight.alias("w"))
+    total = rows.agg(F.sum("words")).first()[0] or 0.0
+    unit, closed = 0.0, 0
+    while True:
+        full = F.col("w") * unit > cap * F.col("words")
+        is_open = (F.col("words") > 0) & ~full
+        met, left, now = rows.agg(F.sum(F.when(full, cap * F.col("words"))), F.sum(F.when(is_open, F.col("w"))), F.count(F.when(full & (F.col("words") > 0), 1))).first()
+        if (unit and now == closed) or not left:
+            break
+        unit, closed = (share * total - (met or 0.0)) / left, now
+    return rows.select("source_key", F.when(F.col("words") > 0, F.least(F.col("w") * unit, cap * F.col("words")) if left else cap * F.col("words")).otherwise(0.0).alias("target"))
 
 
 #: Stands for a null source in keys: "s" + source otherwise.
@@ -160,13 +182,24 @@ def budgets(rows: DataFrame, weights: tuple[float, ...], share: float) -> DataFr
     return checkpointed(planned.withColumnsRenamed({"source_key": "_key", "size": "_size"}))
 
 
+def with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows with the columns of their cell. Cells are broadcast if they are few; else only those of many documents, so that none of these meets in one task."""
+    at = ["_key", "_size"]
+    if cells.count() <= BROADCAST_CELLS:
+        return rows.join(F.broadcast(cells), at)
+    hot = cells.filter(F.col("n") > BROADCAST_CELLS)  # at most one for each BROADCAST_CELLS documents
+    marked = rows.join(F.broadcast(hot), at, "left")
+    few = marked.filter("n is null").select(rows.columns).join(cells.filter(F.col("n") <= BROADCAST_CELLS), at)
+    return marked.filter("n is not null").unionByName(few)
+
+
 def ranked(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """rows with their cell's columns and `_rank`, from 1 by the draw, where only some of the cell's documents are extra (else null).
 
     A cell of more than CELL_ROWS documents is ranked in several windows, by
     ranges of the draw; counts of the ranges put them in sequence.
     """
-    joined = rows.join(cells, ["_key", "_size"])
+    joined = with_cells(rows, cells)
     partial = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     some = joined.filter(partial).withColumn("_salt", F.floor(F.col("_draw") / float(1 << 62) * (1 + F.floor(F.col("n") / CELL_ROWS))).cast("long"))
     cell = ["_key", "_size"]
@@ -181,7 +214,8 @@ def ranked(rows: DataFrame, cells: DataFrame) -> DataFrame:
 def mix_documents(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, seed: str = "mix") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document; taken = size times the passes that take it (0, 1 or 2).
 
-    Sources stand by code point, null last, and take the weights in turn. Null
+    Sources stand by code point, null last, and take the weights in turn;
+    only doc_id, text and source are read. Null
     texts and texts without words have size 0 and give 0 words. Repeated rows
     are documents of their own; an empty table gives no rows.
     """
@@ -191,20 +225,21 @@ def mix_documents(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1),
     return ranked(rows, cells).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("passes") + extra)).alias("taken"))
 
 
-def repeat_mixed(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, seed: str = "mix", broadcast_rows: int = 500_000) -> DataFrame:
+def repeat_mixed(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, seed: str = "mix") -> DataFrame:
     """The documents as the mix takes them, all columns kept: each 0, 1 or 2 times.
 
     Each cell's extra documents are those up to a cut of the draw, so the texts
     themselves are neither ranked nor, while the cells number at most
-    broadcast_rows, shuffled. Rows equal in id and text share a draw and go
-    together.
+    BROADCAST_CELLS, shuffled. Rows equal in id and text share a draw and go
+    together. Null sources are a source of their own; null texts and texts
+    without words go as often as the mix takes length 0; an empty table gives
+    no rows; columns named like the operator's own are kept as they are.
     """
     rows = checkpointed(narrow_rows(documents, seed))
     cells = budgets(rows, weights, share)
     cut = ranked(rows, cells).filter(F.col("_rank") <= F.col("extra")).groupBy("_key", "_size").agg(F.max("_draw").alias("_cut"))
     cells = checkpointed(cells.join(cut, ["_key", "_size"], "left").select("_key", "_size", "passes", "extra", "n", "_cut"))
-    cells = F.broadcast(cells) if cells.count() <= broadcast_rows else cells
     full = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), *[e.alias(c) for c, e in row_keys(seed).items()])
     extra = F.when(F.col("extra") >= F.col("n"), 1).when(F.col("_draw") <= F.col("_cut"), 1).otherwise(0)
-    taken = full.join(cells, ["_key", "_size"]).withColumn("_copies", F.col("passes") + extra)
+    taken = with_cells(full, cells).withColumn("_copies", F.col("passes") + extra)
     return taken.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
