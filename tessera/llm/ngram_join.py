@@ -12,7 +12,7 @@ shingles. Equal sets are one class from the start. Between classes:
 2. In a tile, parity bitmaps (a hashed bit is flipped by every shingle) bound
    the overlap from above: popcount(a ^ b) shingles at least are not shared.
    Pairs that the bound lets pass are kept as a spanning forest only.
-3. The components of these forests are cut into size-banded tiles of at most
+3. The components of these forests are cut into size-banded tiles of about
    BLOCK classes a side, each class with its sorted shingle hashes, and pairs
    that pass the bound again are intersected exactly.
 
@@ -26,17 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import chunks, small_batches
-from tessera.llm.storage import checkpointed
+from tessera.operators.components import checkpointed
 from tessera.operators.components import connected_components
 
-#: Classes on one side of a tile.
+#: Classes on one side of a tile, at most or, after the first bound, about.
 BLOCK = 1024
 #: Keys that a task holds before it hands them on.
 HELD_KEYS = 500_000
+#: Class ids in the lists that a task holds before it hands them on.
+HELD_IDS = 500_000
+#: Copies of a class from which its rows are joined apart from those of the others.
+HOT_COPIES = 10_000
 #: Classes up to which the list of candidates is broadcast to the documents.
 BROADCAST_ROWS = 1_000_000
 
@@ -241,8 +245,9 @@ def _measure(n: int, percent: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64()),
                     pa.array([bitmap(s, percent).tobytes() if f else None for s, f in zip(sets, full, strict=True)], pa.binary()),
+                    part.column("mark"),
                 ],
-                ["doc_id", "n_shingles", "sid", "bits"],
+                ["doc_id", "n_shingles", "sid", "bits", "mark"],
             )
 
     return run
@@ -293,7 +298,7 @@ def _emit(n: int, percent: int, bits: int):
 
 
 def _tiles(percent: int):
-    """The classes of each key of a bucket, as tiles (tile, sids): lists of at most 2 * BLOCK classes, one row for equal lists."""
+    """The classes of each key of a bucket, as tiles (tile, sids): lists of at most 2 * BLOCK classes, handed on as they are made; equal lists have equal names."""
 
     def run(batches):
         for table in groups(batches, ["bucket"]):
@@ -304,6 +309,13 @@ def _tiles(percent: int):
             starts = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1]))
             sizes = np.diff(np.append(starts, len(e)))
             out: dict[int, np.ndarray] = {}
+
+            def flush():
+                batch = pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], ["tile", "sids"])
+                out.clear()
+                return batch
+
+            held = 0
             for a, g in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
                 m = e[a : a + g]
                 m = m[np.argsort(m["n"], kind="stable")]
@@ -315,8 +327,12 @@ def _tiles(percent: int):
                         sids = np.sort(x["sid"] if x is y else np.concatenate([x["sid"], y["sid"]]))
                         if len(sids) > 1:
                             out[set_id(sids.astype(np.uint64))] = sids
+                            held += len(sids)
+                            if held > HELD_IDS:
+                                held = 0
+                                yield flush()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], ["tile", "sids"])
+                yield flush()
 
     return run
 
@@ -428,10 +444,13 @@ def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     """
     spark = documents.sparkSession
     small_batches(spark)
-    rows = documents.select("doc_id", "text")
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    measured = checkpointed(rows.mapInArrow(_measure(n, percent), f"doc_id {id_type}, n_shingles long, sid long, bits binary"))
-    classes = checkpointed(measured.filter("sid is not null").groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits")))
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    measured = checkpointed(marked.mapInArrow(_measure(n, percent), f"doc_id {id_type}, n_shingles long, sid long, bits binary, mark long"))
+    # a class is fetched again by the id and text of its least row
+    of_class = [F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("at")]
+    classes = checkpointed(measured.filter("sid is not null").groupBy("sid").agg(*of_class))
 
     parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = max(6, (4 * parts).bit_length())
@@ -442,9 +461,13 @@ def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     edges = members.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_bounded(percent), "u long, v long")
     clusters = connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("cluster"))
 
-    ranked = clusters.join(classes.select("sid", "n_shingles", "rep", "copies"), "sid")
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("n_shingles", "sid"))
-    blocked = checkpointed(ranked.withColumn("block", F.floor((rank - 1) / BLOCK).cast("int")))
+    ranked = clusters.join(classes.select("sid", "n_shingles", "at", "copies"), "sid")
+    # blocks: by size, and by a hash where many classes of a cluster are of about one size; no window holds a cluster
+    ranked = checkpointed(ranked.withColumn("size", F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).cast("long")))
+    large = ranked.groupBy("cluster", "size").agg(F.count("*").alias("of")).filter(F.col("of") > BLOCK)
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    spread = F.pmod(F.xxhash64("sid"), F.coalesce(F.ceil(F.col("of") * 4 / (3 * BLOCK)), F.lit(1)))
+    blocked = checkpointed(ranked.join(large, ["cluster", "size"], "left").withColumn("block", F.col("size") * (1 << 32) + spread).drop("size", "of"))
     extent = blocked.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     a, b = extent.alias("a"), extent.alias("b")
     reach = (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.block") <= F.col("b.block")) & (100 * F.col("a.most") >= percent * F.col("b.least"))
@@ -452,9 +475,9 @@ def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
     placed = blocked.join(sides, ["cluster", "block"])
 
-    wanted = blocked.select(F.col("rep").alias("doc_id"), "sid")
+    wanted = blocked.select(F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark"), "sid")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("sid", "text")
+    texts = marked.join(wanted, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "text")
     arrays = texts.mapInArrow(_arrays(n), "sid long, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     tiled = placed.join(arrays, "sid").select("cluster", "low", "high", "block", "sid", "copies", "shingles")
     order = ["cluster", "low", "high"]
@@ -465,9 +488,21 @@ def jaccard_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     named = linked.join(classes.select("sid", "rep"), "sid")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = named.join(least, "component").join(links, "sid").select("sid", "component_id", "links")
-    named = classes.select("sid", "rep", "copies").join(found, "sid", "left").select("sid", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = measured.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # a class of one row without links needs no row here: its row says all
+    several = classes.filter("copies > 1").select("sid", "rep", "copies").join(found, "sid", "full_outer")
+    several = checkpointed(several.select("sid", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links")))
+    out = _with_class(measured.select("doc_id", "n_shingles", "sid"), several)
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"))
+
+
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with the columns of their class, null without one. Classes of many rows are broadcast (at most one for each HOT_COPIES rows), so that no task gets all their rows; so are all if they are few."""
+    if classes.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(classes), "sid", "left")
+    hot = classes.filter(F.col("copies") >= HOT_COPIES)
+    marked = rows.join(F.broadcast(hot), "sid", "left")
+    cold = marked.filter("copies is null").select(rows.columns).join(classes.filter(F.col("copies") < HOT_COPIES), "sid", "left")
+    return marked.filter("copies is not null").unionByName(cold)
 
 
 def keep_one_of_each(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

@@ -69,4 +69,16 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hash, learn, parse or merge; SQL has no form of them.
+ORACLE_SQL: dict[str, str] = {
+    "op10_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS o FROM documents UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.id)
+SELECT n.doc_id AS doc_id, n AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM n JOIN (SELECT id, min(o) AS component_id FROM r GROUP BY id) ON id = doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY a) ON a = doc_id""",
+}
