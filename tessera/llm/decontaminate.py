@@ -5,12 +5,15 @@ least m + 1 - q * (e + 1) character q-grams with it, on diagonals (document
 position minus item position) at most e apart. Shared q-grams are counted in
 diagonal bands of width 2 (e + 1) that overlap by half, so every such region
 lies whole in one band; bands that reach the count are verified by banded
-alignment.
+alignment. q depends on the item's length, so that the count is above 0 for the
+whole edit share at every length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import map_chunks
+from tessera.operators.components import checkpointed
 
-Q = 12
 #: Edits allowed, as a share of an item's characters.
 EDIT_SHARE = 0.08
-#: Characters of benchmark items in one index; more items are searched in further blocks.
+#: q of items from so many characters on; shorter ones are one q-gram as a whole, and count where they stand as whole words.
+Q_FROM = ((600, 12), (26, 8), (12, 5))
+#: Characters of benchmark items in one index; more items are searched in further passes.
 BLOCK_CHARS = 2_000_000
 #: Shared q-grams that are laid out at a time.
 HITS = 2_000_000
+#: Texts with a passage up to which their list is broadcast to the documents, if the benchmark takes several passes.
+BROADCAST_ROWS = 200_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = {1 << k: np.uint64(pow(0xD1342543DE82EF95, 1 << k, 2**64)) for k in range(8)}
 _GAP = np.uint32(0xFFFFFFFF)
@@ -67,9 +74,18 @@ def grams(p: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def q_of(size: int, edit_share: float) -> int:
+    """The longest q of Q_FROM, or a shorter one, with which the lemma tells `edit_share` edits from none."""
+    edits = int(size * edit_share)
+    for least, q in Q_FROM:
+        if size >= least:
+            return min(q, max(1, size // (edits + 1)))
+    return size
+
+
 @dataclass
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of items of one q."""
 
     ids: list[int]
     texts: list[np.ndarray]
@@ -80,21 +96,39 @@ class Index:
     item: np.ndarray
     pos: np.ndarray
     table: np.ndarray  # whether some hash has these first bits
+    words: bool  # whether an item counts as whole words only
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], q: int, edit_share: float) -> Index:
-        kept = [(i, p) for i, t in items if len(p := points((t or "").strip())) >= q]
-        sizes = np.array([len(p) for _, p in kept], dtype=np.int64)
-        # as many edits as the share allows and the lemma can still tell from none
-        edits = np.maximum(0, np.minimum((sizes * edit_share).astype(np.int64), (sizes + 1) // q - 2))
-        h = [grams(p, q) for _, p in kept]
-        hashes = np.concatenate(h) if h else np.zeros(0, dtype=np.uint64)
-        item = np.repeat(np.arange(len(kept)), [len(x) for x in h]) if h else np.zeros(0, dtype=np.int64)
-        pos = np.concatenate([np.arange(len(x)) for x in h]) if h else np.zeros(0, dtype=np.int64)
+    def build(cls, items: list[tuple[int, np.ndarray]], q: int, edit_share: float) -> Index:
+        sizes = np.array([len(p) for _, p in items], dtype=np.int64)
+        words = q < Q_FROM[-1][0] and bool((sizes == q).all())
+        edits = np.zeros(len(items), dtype=np.int64) if words else (sizes * edit_share).astype(np.int64)
+        h = [grams(p, q) for _, p in items]
+        hashes = np.concatenate(h)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in h])
+        pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in h])
         order = np.argsort(hashes, kind="stable")
         table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         table[hashes >> np.uint64(64 - _TABLE_BITS)] = True
-        return cls([i for i, _ in kept], [p for _, p in kept], edits, np.maximum(1, sizes + 1 - q * (edits + 1)), q, hashes[order], item[order], pos[order], table)
+        return cls([i for i, _ in items], [p for _, p in items], edits, np.maximum(1, sizes + 1 - q * (edits + 1)), q, hashes[order], item[order], pos[order], table, words)
+
+
+def build_indexes(items: list[tuple[int, str]], edit_share: float) -> list[Index]:
+    """One index for each q that the items ask for; empty items are left out."""
+    by_q: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, t in items:
+        if len(p := points((t or "").strip())):
+            by_q.setdefault(q_of(len(p), edit_share), []).append((i, p))
+    return [Index.build(some, q, edit_share) for q, some in sorted(by_q.items())]
+
+
+def _word(p: np.ndarray, at: int) -> bool:
+    return 0 <= at < len(p) and (chr(p[at]).isalnum() or p[at] == 95)
+
+
+def whole_words(p: np.ndarray, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of the passage."""
+    return not (_word(p, start - 1) and _word(p, start) or _word(p, end - 1) and _word(p, end))
 
 
 def verbatim(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
@@ -153,7 +187,14 @@ def spans(index: Index, docs: list[np.ndarray]) -> list[list[tuple[int, int, int
         where = np.repeat(at[a:b], times[a:b])
         row = np.repeat(first[a:b], times[a:b]) + np.arange(len(where)) - np.repeat(np.append(0, np.cumsum(times[a:b])[:-1]), times[a:b])
         item, doc = index.item[row], np.searchsorted(starts, where, side="right") - 1
-        diagonal = where - starts[doc] - index.pos[row]
+        diagonal = where - starts[doc] - index.pos[row].astype(np.int64)
+        if index.words:  # a q-gram is a whole item here
+            for d, i, at_ in zip(doc.tolist(), item.tolist(), diagonal.tolist(), strict=True):
+                end = at_ + index.q
+                if (docs[d][at_:end] == index.texts[i]).all() and whole_words(docs[d], at_, end):
+                    out[d].append((index.ids[i], at_, end, 0))
+            a = b
+            continue
         stride = index.edits[item] + 1
         band = np.floor_divide(diagonal, stride)
         cells = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
@@ -178,50 +219,103 @@ def spans(index: Index, docs: list[np.ndarray]) -> list[list[tuple[int, int, int
     return out
 
 
-def blocks(benchmark: DataFrame, q: int, edit_share: float, block_chars: int = BLOCK_CHARS) -> list[Index]:
-    """Indexes of blocks of items, each of about block_chars characters."""
+def blocks(benchmark: DataFrame, edit_share: float, block_chars: int | None = None) -> Iterator[list[Index]]:
+    """Indexes of blocks of items, each of about block_chars characters; made one block at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).filter("t is not null").distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
+    n = max(1, -(-total // (block_chars or BLOCK_CHARS)))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [Index.build(sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in (items if n == 1 else items.filter(part == k)).collect()), q, edit_share) for k in range(n)]
+    for k in range(n):
+        rows = (items if n == 1 else items.filter(part == k)).collect()
+        yield build_indexes(sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in rows), edit_share)
 
 
 SPAN = "struct<item_id: bigint, start: bigint, end: bigint, edits: bigint>"
+_SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
+
+
+def _found(indexes: list[Index], texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+    docs = [points(t or "") for t in texts]
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
+    for index in indexes:
+        for all_, some in zip(out, spans(index, docs), strict=True):
+            all_ += some
+    return out
+
+
+def _as_column(found: list[list[tuple[int, int, int, int]]]) -> pa.Array:
+    return pa.array([[dict(zip(("item_id", "start", "end", "edits"), s, strict=True)) for s in sorted(f)] for f in found], _SPANS)
 
 
-def find_passages(documents: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE) -> DataFrame:
+def _hits(rows: DataFrame, indexes: list[Index]) -> DataFrame:
+    """(mark, spans) of the texts in which a block of items is found, written to the shared folder."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = _found(indexes, part.column("text").to_pylist())
+        batch = pa.RecordBatch.from_arrays([part.column("mark"), _as_column(found)], ["mark", "spans"])
+        return batch.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    return checkpointed(map_chunks(rows.select("mark", "text"), run, f"mark binary, spans array<{SPAN}>").dropDuplicates(["mark"]))
+
+
+def _in_passes(rows: DataFrame, first: list[Index], rest: Iterator[list[Index]]) -> DataFrame:
+    """(mark, spans) of the texts with a passage. Each pass over the documents holds one block of the benchmark, whatever its size; equal texts are one row."""
+    hits = _hits(rows, first)
+    for indexes in rest:
+        both = hits.unionByName(_hits(rows, indexes))
+        hits = checkpointed(both.groupBy("mark").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
+    return F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+
+
+def _marked(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("mark", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+
+
+def _first_two(items: Iterator[list[Index]]) -> tuple[list[Index], Iterator[list[Index]] | None]:
+    first, second = next(items), next(items, None)
+    return first, None if second is None else chain([second], items)
+
+
+def find_passages(documents: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
     """(doc_id, contaminated, items, spans) of every document.
 
     spans: the passages within the edit budget of a benchmark item, in code
     points of the text; items: their distinct item ids, ascending. Case and the
-    kind of white space don't count as edits. Items of fewer than q characters
-    can't be told from chance and are left out. Null texts are empty and clean;
-    null ids and repeated rows are kept; an empty table gives no rows.
+    kind of white space don't count as edits. Items of fewer than 12 characters
+    count without edits, where they stand as whole words. Null and empty items
+    are in no document; null texts are empty and clean; null ids and repeated
+    rows are kept; an empty table gives no rows, an empty benchmark no passage.
     """
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans array<{SPAN}>"
-    indexes = blocks(benchmark, q, edit_share)
+    first, rest = _first_two(blocks(benchmark, edit_share))
+    if rest is None:
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        docs = [points(t) for t in part.column("text").to_pylist()]
-        found = [[s for one in many for s in one] for many in zip(*(spans(x, docs) for x in indexes), strict=True)]
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
-        rows_ = [[dict(zip(("item_id", "start", "end", "edits"), s, strict=True)) for s in sorted(f)] for f in found]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows_, kind)], ["doc_id", "spans"])
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), _as_column(_found(first, part.column("text").to_pylist()))], ["doc_id", "spans"])
 
-    out = map_chunks(rows, run, schema)
+        out = map_chunks(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans array<{SPAN}>")
+    else:
+        rows = _marked(rows)
+        out = rows.select("doc_id", "mark").join(_in_passes(rows, first, rest), "mark", "left").select("doc_id", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"])))
     return out.select("doc_id", (F.size("spans") > 0).alias("contaminated"), items.alias("items"), "spans")
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE) -> DataFrame:
-    """The documents without a benchmark passage, with all their columns."""
-    indexes = blocks(benchmark, q, edit_share)
+def keep_clean(documents: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
+    """The documents without a benchmark passage, with all their columns.
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        docs = [points(t or "") for t in part.column("text").to_pylist()]
-        clean = [not any(many) for many in zip(*(spans(x, docs) for x in indexes), strict=True)]
-        return part.filter(pa.array(clean, pa.bool_()))
-
-    return map_chunks(documents, run, documents.schema)
+    Null and empty texts are clean; null ids and repeated rows stay; an empty
+    table gives no rows; with an empty benchmark all documents stay.
+    """
+    first, rest = _first_two(blocks(benchmark, edit_share))
+    if rest is None:
+
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            found = _found(first, part.column("text").to_pylist())
+            return part.filter(pa.array([not f for f in found], pa.bool_()))
+
+        return map_chunks(documents, run, documents.schema)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hits = _in_passes(_marked(documents.select(text.alias("text"))), first, rest).select("mark")
+    full = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("mark"))
+    return full.join(hits, "mark", "left_anti").select("row.*")
