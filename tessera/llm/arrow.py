@@ -32,6 +32,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches. Spark reads the setting when a plan runs, not when it is made, so it can't be put back here."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from tessera.llm.arrow import small_batches
 
 K, ROWS, SIZE = 8, 32, 2
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -119,35 +122,52 @@ def walk(batches: Iterator[pa.RecordBatch], k: int, rows: int, size: int) -> Ite
         yield flush()
 
 
+def _splits(rows: DataFrame, parts: int, whole: bool) -> list:
+    """At most parts - 1 keys that cut the order into ranges of about equal numbers of rows."""
+    if whole:
+        return rows.agg(F.percentile_approx(F.col("key").cast("double"), [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    # other ids: those of least hash, at most 100 for each range, stand for all; they set nothing but the ranges
+    some = sorted(r["key"].encode("utf-8", "surrogatepass") for r in rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(100 * parts).collect())
+    return [some[len(some) * i // parts].decode("utf-8", "surrogatepass") for i in range(1, parts)] if some else []
+
+
 def fingerprint_documents(documents: DataFrame, parts: int | None = None, k: int = K, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """Fingerprints of every document and of its edited text.
 
-    Documents stand in descending doc_id (equal ids by text, descending; null
-    ids last); the document after the last is the first, a single one follows
-    itself. Null texts are empty: n_chars 0, a fingerprint of zeros. Repeated
-    rows stay; an empty table gives no rows; other columns are ignored.
+    Documents stand in descending doc_id: whole numbers by value, other ids as
+    text by code point (equal ids by text, descending; null ids last); the
+    document after the last is the first, a single one follows itself. Null
+    texts are empty: n_chars 0, a fingerprint of zeros. Repeated rows stay; an
+    empty table gives no rows; other columns are ignored.
 
     The order is dealt into ranges of ids by a bounded list of split points.
     The first row of each range is also sent to the end of the range before it
     (a ghost), so that every row finds its successor without a global window.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     rows_ = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    id_type = rows_.schema["doc_id"].dataType.simpleString()
+    kind = rows_.schema["doc_id"].dataType
+    whole = isinstance(kind, IntegralType)
+    id_type = kind.simpleString()
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    # null ids come after all others: "n" before "s" + id
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if whole else F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("n"))
     placed = rows_.withColumn("key", key)
-    splits = placed.agg(F.percentile_approx(F.col("key").cast("double"), [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
-    bounds = [float("-inf"), *sorted(set(splits)), float("inf")]
-    if len(bounds) > 2:
+    splits = sorted(set(_splits(placed, parts, whole)))
+    if splits and whole:
+        bounds = [float("-inf"), *splits, float("inf")]
         placed = Bucketizer(splits=bounds, inputCol="at", outputCol="bucket").transform(placed.withColumn("at", F.col("key").cast("double")))
         placed = placed.withColumn("part", (F.lit(len(bounds)) - F.col("bucket")).cast("int")).drop("at", "bucket")
+    elif splits:
+        table = F.array(*[F.lit(x) for x in splits])
+        placed = placed.withColumn("part", F.size(F.filter(table, lambda x: x > F.col("key"))))
     else:
         placed = placed.withColumn("part", F.lit(0))
     heads = placed.groupBy("part").agg(F.max("key").alias("head")).orderBy("part").collect()  # at most `parts` rows
     if not heads:
         return spark.createDataFrame([], f"doc_id {id_type}, {RESULT}")
-    before = spark.createDataFrame([(h["head"], heads[i - 1]["part"]) for i, h in enumerate(heads)], "key long, part int")
+    before = spark.createDataFrame([(h["head"], heads[i - 1]["part"]) for i, h in enumerate(heads)], f"key {placed.schema['key'].dataType.simpleString()}, part int")
     real = placed.withColumn("ghost", F.lit(0))
     ghosts = placed.drop("part").join(F.broadcast(before), "key").groupBy("key", "part").agg(F.max("text").alias("text"), F.first("doc_id").alias("doc_id")).withColumn("ghost", F.lit(1))
     dealt = real.unionByName(ghosts).repartition(parts, "part")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import map_chunks
+from tessera.operators.components import checkpointed
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("абвгеёзіїјкмнорстухѕԁһӏɡαβεικνορτυχγωаᴏ", "abbreezlijkmhopctyxsdhlgabeikvoptuxywao", strict=True))
@@ -140,8 +141,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, keep, fit
     return documents.select(F.col(id_col).alias("_id"), text.alias("text")).join(F.broadcast(rows), "_id").select("text", F.col("_y").alias("y"))
 
 
-def learn_lexicon(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, size: int = 20_000) -> Lexicon:
-    """A lexicon of at most `size` patterns from rows (text, y) with y 1 for toxic; empty if a class is missing.
+def learn_lexicon(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon from rows (text, y) with y 1 for toxic; empty if a class is missing. All patterns that tell are in it; the caller's bound on the rows bounds them.
 
     The patterns come from three quarters of the rows; the rest give the curve
     and choose the least weight of a pattern.
@@ -159,12 +160,15 @@ def learn_lexicon(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, siz
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(names, pa.string()), "t": pa.array([seen[p, 1] for p in names], pa.int64()), "c": pa.array([seen[p, 0] for p in names], pa.int64())})
 
     counts = rows.mapInArrow(count, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    telling = counts.filter("pattern = '' or (t >= 3 and t > c)").orderBy((F.col("pattern") == "").desc(), F.col("t").desc(), "pattern").limit(size + 1)
-    found = [tuple(r) for r in telling.collect()]
-    if not found or found[0][0] or not found[0][1] or not found[0][2]:
+    counts = checkpointed(counts)
+    totals = counts.filter("pattern = ''").first()
+    if totals is None or not totals["t"] or not totals["c"]:
         return Lexicon({}, exceptions)
-    _, toxic, clean = found[0]
-    tried = [Lexicon(choose(found[1:], toxic, clean, min_weight=w), exceptions) for w in LEAST_WEIGHTS]
+    toxic, clean = totals["t"], totals["c"]
+    # as `choose` weighs them: no pattern below the least weight is worth the way to the driver
+    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+    found = sorted(tuple(r) for r in counts.filter((F.col("pattern") != "") & (F.col("t") >= 3) & (weight >= min(LEAST_WEIGHTS) - 1e-6)).collect())
+    tried = [Lexicon(choose(found, toxic, clean, min_weight=w), exceptions) for w in LEAST_WEIGHTS]
 
     def measure(batches):
         matchers = [x.matcher() for x in tried]
@@ -210,7 +214,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, fit_rows: int = 12_000, ex
     """(doc_id, held_out, score, predicted) of every document.
 
     The lexicon is learned from about fit_rows labelled documents that aren't
-    held out; labels repeated for a document count as toxic if one is. Null
+    held out (a documented bound); labels repeated for a document count as toxic if one is. Null
     ids, repeated rows and null texts (as empty) are kept; an empty table gives
     no rows; without labels of both classes every score is the same low value.
     """
