@@ -2,14 +2,17 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, fingerprints, html_text, mixing, ngram_join, pii, quality, queries, sharding, token_counts, toxicity
@@ -69,7 +72,15 @@ def test_stages_keep_columns(spark):
     kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one_of_each(docs).collect()]
     assert Counter(i for i, _ in kept) == Counter([1, 2, 3, 4, 5, 7, 8, 8, 9, None, None])
     assert decontaminate.keep_clean(docs, benchmark(spark)).filter("doc_id = 1").count() == 0
-    assert sharding.with_shards(docs).columns == [*docs.columns, "text_crc32", "law"]
+    sharded = sharding.with_shards(docs)
+    assert sharded.columns == [*docs.columns, "size_", "text_crc32", "law", "shard_"]
+    assert sorted(map(str, sharded.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_stages_on_empty_tables(spark):
+    docs = nasty(spark).limit(0)
+    for out in (quality.keep_accepted(docs, quality.graded(labels(spark))), decontaminate.keep_clean(docs, benchmark(spark)), ngram_join.keep_one_of_each(docs), mixing.repeat_mixed(docs), sharding.with_shards(docs)):
+        assert out.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
 
 
 # --- 1: HTML
@@ -216,11 +227,54 @@ def test_mix(spark):
     assert (full.reindex(some.index).fillna(0) * some["size"] == some.taken).all()
 
 
-def test_mix_splits_hot_lengths(spark, monkeypatch):
+def best_sum(lengths, counts, budget):
+    sums = {0}
+    for n, c in zip(lengths, counts, strict=True):
+        for _ in range(c):
+            sums |= {v + n for v in sums if v + n <= budget}
+    return max(sums)
+
+
+def test_budgets_of_long_documents_are_fitted_best():
+    cases = [([17_000, 18_000, 19_000], [1] * 3, 18_500), ([19_000, 19_500, 20_000], [1] * 3, 47_000)]
+    r = random.Random(6)
+    for _ in range(40):
+        cases.append((sorted(r.sample(range(15_000, 20_001), 9)), [1] * 9, r.randint(1, 160_000)))
+    for lengths, counts, budget in cases:
+        take = mixing.fit_budget(np.array(lengths), np.array(counts), budget)
+        assert (take <= counts).all() and int((take * lengths).sum()) == best_sum(lengths, counts, min(budget, sum(lengths)))
+
+
+def test_great_budgets_miss_less_than_the_shortest_left():
+    r = random.Random(8)
+    for low, high in ((1, 20_000), (150_000, 400_000)):
+        lengths = np.array(sorted(r.sample(range(low, high), 300)))
+        counts = np.array([r.randint(1, 6) for _ in lengths])
+        for share in (0.1, 0.5, 0.93):
+            budget = int((lengths * counts).sum() * share)
+            take = mixing.fit_budget(lengths, counts, budget)
+            rest = budget - int((take * lengths).sum())
+            assert (take <= counts).all() and 0 <= rest < lengths[take < counts].min() and (low > 1 or rest == 0)
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(2)
+    sizes = {f"s{''.join(r.choices('aZé日😀', k=4))}": r.choice([0, 3, 50, 4000]) for _ in range(60)} | {mixing.NULL_KEY: 70}
+    h = spark.createDataFrame([(k, 1, n) for k, n in sizes.items()], "source_key string, size long, n long")
+    order = sorted(sizes, key=lambda k: (k == mixing.NULL_KEY, k))
+    want = mixing.water_fill([sizes[k] for k in order], [(5, 2, 1)[i % 3] for i in range(len(order))])
+    got = {x["source_key"]: x["target"] for x in mixing.source_targets(h, (5, 2, 1), 1.5).collect()}
+    assert [got[k] for k in order] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("cells", [500_000, 1])
+def test_mix_splits_hot_lengths(spark, monkeypatch, cells):
     monkeypatch.setattr(mixing, "CELL_ROWS", 8)
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", cells)
     d = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 300, "a b c").otherwise("a b c d e").alias("text"), F.lit("s").alias("source"))
     out = mixing.mix_documents(d, share=0.5).toPandas()
-    assert out.taken.sum() == pytest.approx(0.5 * 1900, abs=1)
+    assert len(out) == 500 and out.taken.sum() == pytest.approx(0.5 * 1900, abs=1)
+    assert mixing.repeat_mixed(d, share=0.5).groupBy().agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == out.taken.sum()
 
 
 # --- 6: fingerprints
@@ -242,6 +296,50 @@ def test_fingerprints(spark):
             assert r["near_edited"] == pytest.approx((a == b).mean()) and r["near_next"] == pytest.approx((a == c).mean())
 
 
+def plain_fingerprint(text, k=8, rows=32, size=2):
+    """Order MinHash by its definition, one k-mer at a time."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        return x ^ x >> 29
+
+    k, seen, numbered = min(k, len(text)), Counter(), []
+    for i in range(len(text) - k + 1 if text else 0):
+        kmer = text[i : i + k]
+        h = k
+        for c in kmer:
+            h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 32
+        numbered.append(mix(h + seen[kmer] * 0xBF58476D1CE4E5B9 & mask) >> 32)
+        seen[kmer] += 1
+    out = []
+    for row in range(1, rows + 1):
+        odd = mix(row * 0x9E3779B97F4A7C15 & mask) >> 32 | 1
+        least = sorted(range(len(numbered)), key=lambda i: (numbered[i] * odd % 2**32, i))[:size]
+        value = row * 0x9E3779B97F4A7C15 & mask
+        for i in sorted(least):
+            value = mix((value ^ numbered[i]) * 0x9E3779B97F4A7C15 & mask)
+        out.append(value >> 32 | 1 if numbered else 0)
+    return out
+
+
+def test_fingerprints_follow_the_definition(spark):
+    texts = ["", "a", "abc", "aaaaaaaaaaaaaaaaaaaa", "the cat sat on the cat sat on the mat", "日本語 😀 mixed text of some length"] + [r["text"][:700] for r in tables(spark, SF, "documents").limit(20).collect()]
+    for t in texts:
+        assert fingerprints.fingerprint(t).tolist() == plain_fingerprint(t)
+
+
+@pytest.mark.parametrize("parts", [2, 9])
+def test_fingerprints_of_any_ids(spark, parts):
+    ids = ["b", "a10", "a9", None, "é", "😀", "￿", "", "b", "Z"] + [f"doc-{i}" for i in range(40)]
+    rows = [(d, f"text {i} of {d} with some words") for i, d in enumerate(ids)]
+    got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id string, text string"), parts).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]), reverse=True)
+    want = {(d, len(t), hashlib.sha256(fingerprints.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order)}
+    assert got == want
+
+
 def test_fingerprints_feel_order():
     words = [f"word{i}" for i in range(400)]
     base = " ".join(words)
@@ -267,12 +365,61 @@ def test_sharding(spark):
     assert (out["size"] == [len(texts[i].encode()) + 1 for i in out.doc_id]).all() and (out.text_crc32 == [zlib.crc32(texts[i].encode()) for i in out.doc_id]).all()
 
 
+def plain_shard(key, shards):
+    """The descent for a tree without gaps, step by step; the draws of all shards, if some aren't installed."""
+    base = xxhash.xxh64_intdigest(key.encode(), seed=42)
+
+    def draw(name, weight):
+        h = xxhash.xxh64_intdigest(name.encode(), seed=base)
+        return -math.log((h % 2**52 + 0.5) / 2**52) / weight
+
+    def under(name, group, above, levels):
+        """{shard number: draw} of all shards below a node whose draw is given."""
+        if not levels:
+            return {group[0].number: above}
+        parts = {}
+        for s in group:
+            parts.setdefault(levels[0](s), []).append(s)
+        race = {n: draw(n, sum(s.weight for s in g)) for n, g in parts.items()}
+        won = min(race, key=race.get)
+        out = {}
+        for n, g in parts.items():
+            out |= under(n, g, above + (0 if n == won else draw(n + "+", sum(s.weight for s in g))), levels[1:])
+        return out
+
+    out, regions = {}, {}
+    for s in shards:
+        regions.setdefault(s.region, []).append(s)
+    for r, g in regions.items():
+        out |= under(r, g, draw(r, sum(s.weight for s in g)), [lambda s: f"{s.region}/{s.rack}", lambda s: f"shard{s.number}"])
+    there = {s.number for s in shards if s.installed}
+    return min((d, n) for n, d in out.items() if n in there)[1]
+
+
+def test_descent_is_recomputed(spark):
+    uneven = [sharding.Shard(i, f"r{i % 3}", f"k{i % 5}", 1.0 + i % 4, i != 7) for i in range(20)]
+    for shards in (sharding.tree(1), sharding.tree(8), sharding.tree(9), sharding.tree(21), uneven):
+        got = spark.range(300).select(F.col("id").cast("string").alias("k")).select("k", sharding.descend(F.col("k"), shards).alias("s")).collect()
+        assert all(r["s"] == plain_shard(r["k"], shards) for r in got)
+
+
+def test_each_further_shard_takes_rows_only_into_itself(spark):
+    key = F.col("id").cast("string")
+    out = spark.range(4000).select(*[sharding.descend(key, sharding.tree(n)).alias(f"n{n}") for n in range(7, 14)]).toPandas()
+    for n in range(8, 14):
+        moved = out[out[f"n{n}"] != out[f"n{n - 1}"]]
+        assert set(moved[f"n{n}"]) == {n - 1} and abs(len(moved) / 4000 - 1 / n) < 0.03
+
+
 def test_weights_confine_movement(spark):
-    before = sharding.tree(8)
-    after = [sharding.Shard(s.number, s.region, s.rack, 2.0 if s.number == 5 else 1.0) for s in before]
-    ids = spark.range(5000).select(F.col("id").cast("string").alias("k"))
+    before = [sharding.Shard(i, f"region{i // 4}", f"rack{i // 2 % 2}") for i in range(16)]
+    after = [sharding.Shard(s.number, s.region, s.rack, 3.0 if s.number == 5 else 1.0) for s in before]
+    ids = spark.range(6000).select(F.col("id").cast("string").alias("k"))
     out = ids.select(sharding.descend(F.col("k"), before).alias("a"), sharding.descend(F.col("k"), after).alias("b")).toPandas()
-    assert set(out[out.a != out.b].b) == {5} and abs((out.b == 5).mean() - 2 / 9) < 0.03
+    moved = out[out.a != out.b]
+    assert set(moved.b // 4) == {1} and abs((out.b == 5).mean() - 3 / 18) < 0.02  # into the region whose weight changed
+    within = moved[moved.a // 4 == 1]
+    assert set(within.b // 2) == {2} and set(within[within.a // 2 == 2].b) == {5}  # in it into the rack, in that into the shard
     with pytest.raises(ValueError):
         sharding.descend(F.col("k"), [])
 
@@ -308,6 +455,40 @@ def test_passages(spark):
         assert dict(rows)[x["doc_id"]][s["start"] : s["end"]].lower() == items[x["items"][0]] and s["edits"] == 0
 
 
+def test_short_items_count_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "say TINY things"), (2, "tinyness, atiny"), (3, "tiny"), (4, None), (5, "")], "doc_id int, text string")
+    bench = spark.createDataFrame([(1, "tiny"), (2, ""), (None, "things"), (3, None)], "item_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in decontaminate.find_passages(docs, bench).collect()}
+    assert got == {1: [(-1, 9, 15, 0), (1, 4, 8, 0)], 2: [], 3: [(1, 0, 4, 0)], 4: [], 5: []}
+    assert sorted(r[0] for r in decontaminate.keep_clean(docs, bench).select("doc_id").collect()) == [2, 4, 5]
+    assert decontaminate.keep_clean(docs, bench.limit(0)).count() == 5
+
+
+def test_edit_share_holds_at_every_length():
+    r = random.Random(3)
+    for m in (12, 13, 24, 25, 26, 40, 81, 300, 599, 600, 900):
+        assert all(n + 1 - decontaminate.q_of(n, 0.08) * (int(n * 0.08) + 1) >= 1 for n in range(12, m + 1))
+        item = "q" + "".join(r.choices(string.ascii_lowercase + " ", k=m - 2)) + "z"
+        index = decontaminate.build_indexes([(1, item)], 0.08)
+        for _ in range(8):
+            text = list(item)
+            for at in sorted(r.sample(range(len(item)), int(len(item) * 0.08)), reverse=True):
+                text[at : at + 1] = r.choice(["", "#", text[at] + "#"])
+            doc = decontaminate.points("filler before " + "".join(text) + " filler after")
+            assert any(decontaminate.spans(x, [doc])[0] for x in index), (m, "".join(text))
+
+
+def test_a_benchmark_of_many_blocks_finds_the_same(spark, monkeypatch):
+    docs, bench = tables(spark, "/root/testdata/sf0.01", "documents"), tables(spark, "/root/testdata/sf0.01", "benchmark")
+    docs = docs.unionByName(docs.limit(30))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want, kept = rows(decontaminate.find_passages(docs, bench)), rows(decontaminate.keep_clean(docs, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 7_000)
+    assert rows(decontaminate.find_passages(docs, bench)) == want and rows(decontaminate.keep_clean(docs, bench)) == kept
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert rows(decontaminate.keep_clean(docs, bench)) == kept
+
+
 def test_all_leaks_of_the_tables(spark):
     got = {r["doc_id"]: set(r["items"]) for r in queries.op8_decontaminate(spark, "/root/testdata/sf0.01").collect()}
     items = [(r["item_id"], r["text"]) for r in tables(spark, "/root/testdata/sf0.01", "benchmark").collect()]
@@ -401,6 +582,49 @@ def test_join_is_exact(spark, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_join_beyond_the_broadcast_bounds(spark, monkeypatch):
+    from tessera.operators import components
+
+    for module, name, value in ((ngram_join, "BLOCK", 16), (ngram_join, "HOT_COPIES", 3), (ngram_join, "BROADCAST_ROWS", 0), (ngram_join, "HELD_IDS", 50), (components, "BROADCAST_EDGES", 0), (components, "HOT_CENTRE", 4)):
+        monkeypatch.setattr(module, name, value)
+    rows = planted() + [(5000 + i, "one text that stands in many rows of the table") for i in range(9)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_without_ids_are_fetched_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if j != i % 60 else f"x{i}" for j, w in enumerate(words)) for i in range(300)]
+    rows = [(None, t) for t in texts]
+    seen = spark.sparkContext.accumulator(0)
+    plain = ngram_join._arrays
+
+    def counting(n):
+        inner = plain(n)
+
+        def run(batches):
+            def count():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            yield from inner(count())
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_arrays", counting)
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 300 and all(r["component_id"] is None for r in out) and all(r["n_links"] for r in out) and seen.value <= 300
+
+
+def test_join_agrees_with_its_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = c.sql(queries.ORACLE_SQL["op10_ngram_join"])
+    got = queries.op10_ngram_join(spark, SF)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_no_linked_pair_misses_a_tile():
     r = random.Random(17)
     edges = ngram_join.bands(85, 1 << 20)
