@@ -97,6 +97,67 @@ def test_main_text():
     assert html_text.main_text("<p title='a>b'>q</p><p>z") == "q\n\nz"
 
 
+ARTICLE = "<h1>The title</h1><p>First paragraph with enough words to look like an article, and some more of them.</p><p>Ed.</p><p>Second paragraph, which has a <a href=x>link</a> in it and further words for good measure.</p><ul><li>one<li>two</ul>"
+BLOCKS = ["The title", "First paragraph with enough words to look like an article, and some more of them.", "Ed.", "Second paragraph, which has a link in it and further words for good measure.", "one", "two"]
+READERS = "".join(f"<article class='comment'><p>Reader {i}: I find this very good, and I have a long story to tell about it myself, really.</p></article>" for i in range(8))
+AROUND = {
+    "no names": "<nav><a>x</a></nav><div>{}</div><div>&copy; 2024 Site</div>",
+    "states": "<div class='layout has-sidebar'><div id='content' class='post no-comments'><div class='search-open page'><div class='post share-enabled'>{}</div></div></div></div>",
+    "wrong name": "<div class='sidebar-layout'><section>{}</section></div>",
+    "readers": "<article>{}</article><section id=comments>" + READERS + "</section>",
+    "readers within": "<div class='post has-comments'><div>{}</div><div class='comments-area'>" + READERS + "</div></div>",
+    "side": "<div id=main><div>{}</div><div class='sidebar'><p>Latest news of the day that nobody reads, with many words in it.</p></div></div>",
+    "quotes": '<p title="' + "a>b " * 30_000 + '"></p><div data-x=\'' + ">" * 100_000 + "\'>{}</div>",
+    "form around": "<form action=x><input><div>{}</div></form><form><p>Subscribe to our letter now.</p></form>",
+    "notice": "<div id='cookie-notice'><p>We use cookies to give you the best of all experiences on this site of ours.</p></div><div class='content'>{}</div>",
+    "advert within": "<article>{}<div class='ad-slot'><p>Buy the best thing in the world today, only today, at half the price.</p></div><div class='share-bar'><a>a</a> <a>b</a></div></article>",
+    "site header": "<header><h1>Site name</h1></header><article>{}</article><footer><p>Imprint of the site.</p></footer>",
+    "hidden": "<div style='display:none'><p>Hidden text that nobody should see on this page of ours.</p></div><div>{}</div>",
+    "related": "<main>{}<ul><li><a>Other story one</a></li><li><a>Other story two</a></li></ul></main>",
+    "bare": "{}<div class=footer>Imprint</div>",
+    "table": "<table><tr><td><a>m1</a><br><a>m2</a></td><td>{}</td></tr></table>",
+}
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_density_finds_the_article(around):
+    assert html_text.main_text(f"<html><body class='menu'>{AROUND[around].replace('{}', ARTICLE)}</body></html>").split("\n\n") == BLOCKS
+
+
+def test_title_beside_the_text():
+    page = "<body><div><div><h1>The title</h1></div><section>" + ARTICLE.replace("<h1>The title</h1>", "") + "</section></div></body>"
+    assert html_text.main_text(page).split("\n\n") == BLOCKS
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for odd in ("<a " * 50_000, '<a x="' * 30_000, "<p a='\"" * 30_000, "<!--" * 20_000, "<i>" * 20_000 + "x", "</ " * 20_000, "<" * 50_000, "<p a" + " " * 100_000 + "b", "<![CDATA[" * 20_000, "<div class=ad>" * 2000 + "x"):
+        assert isinstance(html_text.main_text(odd), str)
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("around", [None, "<div>", "<div class='layout has-sidebar'><div>", "<div class='post no-comments'>", "<form><div>", "<section><div><div>"])
+def test_pages_without_an_article_element(spark, around):
+    import html
+
+    for r in tables(spark, SF, "pages").collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        page = r["html"]
+        if around:
+            page = page.replace("<article>", around).replace("</article>", "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", around))))
+        assert html_text.main_text(page) == "\n\n".join(b for b in blocks if b)
+
+
+def test_pages_clash_and_empty(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    got = html_text.extract_pages(spark.createDataFrame([(1, None, "<p>x</p>", "t", "n")], schema))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and [tuple(r) for r in got.collect()] == [(1, None, "x", 1)]
+    assert html_text.extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_pages(spark):
     import html
 
