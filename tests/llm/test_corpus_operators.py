@@ -244,6 +244,116 @@ def test_surrogates_stay_distinct(spark):
     assert len({r["s"] for r in out}) == 2000 and not originals & {r["s"] for r in out}
 
 
+def surrogates_of(spark, texts, **options):
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), **options).orderBy("doc_id").collect()
+    return [r["text"] for r in out], [[tuple(e) for e in r["entities"]] for r in out]
+
+
+def test_names_of_many_scripts_and_forms(spark):
+    texts, found = surrogates_of(
+        spark,
+        [
+            "Mr Παπαδόπουλος, Κυρία Μαρία Παπαδόπουλος",
+            "Ms Łukasiewicz-Nowak",
+            "Dr. Smith, Mr John Smith, Mr Smith's car, Mary Smith, MR SMITH",
+            "доктор Анна Иванова; господин Иванов",
+            "السيد محمد علي",
+            "Prof. Ludwig van Beethoven, Mr O'Brien",
+            "Mary J. Jones and Maria Gonzalez",
+        ],
+    )
+    assert [len(f) for f in found] == [2, 1, 5, 2, 1, 2, 2] and all(k == "NAME" for f in found for k, _ in f)
+    one, two = found[0][0][1].split(), found[0][1][1].split()
+    assert one[0] == "Mr" and two[0] == "Κυρία" and one[1] == two[2] and re.fullmatch(r"[Α-Ωα-ωά-ώ]+ [Α-Ωα-ωά-ώ]+", " ".join(two[1:]))
+    assert re.fullmatch("Ms [A-Z][a-z]+-[A-Z][a-z]+", found[1][0][1])
+    smith = found[2][0][1].split()[1]
+    assert [x.split()[-1] for _, x in found[2]] == [smith] * 4 + [smith.upper()] and "'s car" in texts[2]
+    assert found[2][1][1].split()[1] in pii.GIVEN["ML"] and found[2][3][1].split()[0] in pii.GIVEN["FL"]
+    assert re.fullmatch("السيد [ء-ي]+ [ء-ي]+", found[4][0][1]) and " van " in found[5][0][1]
+    for word in ("Παπαδόπουλος", "Μαρία", "Łukasiewicz", "Nowak", "Smith", "John", "SMITH", "Иванов", "محمد", "Beethoven", "Ludwig", "Brien", "Gonzalez", "Jones"):
+        assert not any(word in t for t in texts)
+
+
+def test_numbers_count_by_their_check_digits(spark):
+    plain = ["order 1234567890123 of 1700000000000", "4539148803436468 and XY12ABCD1234EFGH5678", "born 31.02.1980"]
+    texts, found = surrogates_of(spark, ["4539148803436467 12 and 4539-1488-0343-6467", "DE89370400440532013000, DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 32", "378282246310005", *plain])
+    assert texts[3:] == plain and found[3:] == [[], [], []]
+
+    def luhn(n):
+        return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(n))) % 10 == 0
+
+    cards = [re.sub(r"\D", "", x) for _, x in found[0] + found[2]]
+    assert cards[0] == cards[1] and all(map(luhn, cards)) and "4539148803436467" not in cards and texts[0].split()[1] == "12"
+    for _, iban in found[1]:
+        s = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    assert found[1][0][1] == found[1][1][1].replace(" ", "") and found[1][2][1].startswith("GB")
+
+
+def test_addresses_and_birthdays(spark):
+    texts, found = surrogates_of(spark, ["at 12 Oak Street, born 12/05/1980", "Hauptstraße 12, geboren am 12.05.1980", "born on May 12, 1980; dob: 1980-05-12; date of birth 12 May 1980", "5 rue de la Paix", "built 12/05/1980 and 12 red streets"])
+    assert [[k for k, _ in f] for f in found] == [["ADDRESS", "DOB"], ["ADDRESS", "DOB"], ["DOB", "DOB", "DOB"], ["ADDRESS"], []]
+    assert re.fullmatch(r"\d\d [A-Z][a-z]+ Street", found[0][0][1]) and re.fullmatch(r"[A-Z][a-z]+straße \d\d", found[1][0][1]) and re.fullmatch(r"\d rue de la [A-Z][a-z]+", found[3][0][1])
+    day, month, year = found[0][1][1].split("/")
+    assert found[1][1][1] == f"{day}.{month}.{year}" and found[2][1][1] == f"{year}-{month}-{day}"
+    assert found[2][0][1] == f"{pii.MONTHS[int(month) - 1]} {int(day)}, {year}" and found[2][2][1] == f"{int(day)} {pii.MONTHS[int(month) - 1]} {year}"
+    days = spark.range(3000).select(F.lit("DOB").alias("kind"), F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("c"))
+    assert days.select(pii.surrogate(F.col("kind"), F.col("c"), F.lit(0), "k")).distinct().count() == 3000
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_many_entities_of_a_narrow_format_stay_distinct(spark, monkeypatch, rows):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    n = 1_000_000 if rows else 20_000
+    digits = 9 if rows else 5  # a third of 10^5 values are taken
+    e = spark.range(n).select(F.lit("SSN").alias("kind"), F.lpad((F.col("id") * (3 if digits == 5 else 977)).cast("string"), digits, "0").alias("c"))
+    redrawn = pii.redraws(e, "k")
+    assert redrawn.count() > 100
+    s = e.join(redrawn, ["kind", "c"], "left").select("c", pii.surrogate(F.col("kind"), F.col("c"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
+    s = s.persist()
+    assert s.select("s").distinct().count() == n and s.select("s").intersect(s.select("c")).count() == 0
+    s.unpersist()
+
+
+def test_names_that_stand_in_the_corpus_are_not_given(spark):
+    e = spark.createDataFrame([("SURNAME", "L|smith"), ("SURNAME", "L|jones")], "kind string, c string")
+    first = e.filter("c = 'L|smith'").select(pii.surrogate(F.col("kind"), F.col("c"), F.lit(0), "k")).first()[0]
+    clash = e.unionAll(spark.createDataFrame([("SURNAME", first)], "kind string, c string"))
+    assert pii.redraws(e, "k").count() == 0 and [r["c"] for r in pii.redraws(clash, "k").collect()] == ["L|smith"]
+
+
+def test_redrawn_entities_reach_the_texts(spark, monkeypatch):
+    mails = [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [" ".join(mails), *mails, "x@x.com " * 50]
+    results = []
+    for rows, hot in ((200_000, 100_000), (0, 3)):
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(pii, "HOT", hot)
+        results.append(surrogates_of(spark, texts))
+    assert results[0] == results[1]
+    out, found = results[0]
+    s = [x for _, x in found[0]]
+    assert len(set(s)) == 26 and not set(s) & set(mails) and [f[0][1] for f in found[1:27]] == s and set(found[27]) == {found[24][0]}
+    assert out[0] == " ".join(s)
+
+
+def test_texts_are_put_together_from_their_pieces(spark):
+    """Every text is its pieces between the matches, with the surrogates between them."""
+    docs = tables(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    pieces = docs.select("doc_id", "text", F.split("text", pii.PATTERN, -1).alias("p"), F.regexp_extract_all("text", F.lit(pii.PATTERN), F.lit(0)).alias("m")).collect()
+    assert len(pieces) == len(got) and sum(len(r["m"]) for r in pieces) > 20
+    for r in pieces:
+        e, made = list(got[r["doc_id"]]["entities"]), ""
+        for k, piece in enumerate(r["p"]):
+            made += piece
+            if k < len(r["m"]):
+                card = re.fullmatch(r"\d{16}", r["m"][k])
+                right = not card or r["m"][k][0] in "245" and sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(r["m"][k]))) % 10 == 0
+                made += e.pop(0)["surrogate"] if right else r["m"][k]
+        assert made == got[r["doc_id"]]["text"] and not e
+
+
 # --- 5: mixing
 
 
