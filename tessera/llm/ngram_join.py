@@ -55,9 +55,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A random odd 64-bit value of each byte, A-Z as a-z.
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _A) | np.uint64(1)
-_BYTES[65:91] = _BYTES[97:123]
+#: A random odd 64-bit value of each byte, and the same with A-Z as a-z.
+EACH_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _A) | np.uint64(1)
+FOLDED_BYTE = EACH_BYTE.copy()
+FOLDED_BYTE[65:91] = FOLDED_BYTE[97:123]
 
 
 _POWERS: list = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -75,18 +76,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, lower-cased in A-Z, and the number of words of each text."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, a new line after each; where their words start and end; the number of words of each text."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
+    stops = np.cumsum(np.array([len(t) + 1 for t in texts]))
+    return data, starts, ends, np.diff(np.searchsorted(starts, stops), prepend=0)
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words; the table has a value for each byte."""
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * up, out=total[1:])
-    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _A)
-    stops = np.cumsum(np.array([len(t) + 1 for t in texts]))
-    return h, np.diff(np.searchsorted(starts, stops), prepend=0)
+    np.cumsum(table[data] * up, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _A)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, lower-cased in A-Z, and the number of words of each text."""
+    data, starts, ends, counts = words_of(texts)
+    return hash_words(data, starts, ends, FOLDED_BYTE), counts
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:

@@ -8,9 +8,7 @@ probability of a chosen grade is at least one half.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,55 +16,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import map_chunks
+from tessera.llm.arrow import chunks, map_chunks
+from tessera.llm.ngram_join import EACH_BYTE, FOLDED_BYTE, hash_words, mix, words_of
 from tessera.llm.toxicity import training_rows
 
 BITS = 15
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER, _UPPER, _DIGIT, _OTHER = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1*")
-
-
-def shape(word: str) -> str:
-    """A word with its runs of capitals, letters, digits and equal signs cut to one character each."""
-    if word.isalpha() and word.islower():
-        return "a"
-    return _OTHER.sub(r"\1", _DIGIT.sub("9", _LOWER.sub("a", _UPPER.sub("A", word))))[:12]
-
-
-def _bucket(x: float, steps: int = 10) -> int:
-    return min(steps - 1, int(x * steps))
-
-
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed feature ids, ascending, and their values. A text without words has the feature of emptiness alone."""
-    words = _WORD.findall(text)
-    n = len(words)
-    count = Counter(words)
-    raw: dict[str, float] = {}
-    shapes: Counter = Counter()
-    for w, c in count.items():
-        raw["w" + w.lower()] = raw.get("w" + w.lower(), 0.0) + c
-        shapes[shape(w)] += c
-    norm = sum(v * v for v in raw.values()) ** 0.5 or 1.0
-    raw = {k: v / norm for k, v in raw.items()}
-    for s, c in shapes.items():
-        raw["s" + s] = c / n
-    if n:
-        repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
-        raw[f"r{_bucket(repeats / n)}"] = 1.0
-        raw[f"d{_bucket(len(count) / n)}"] = 1.0
-        raw[f"t{_bucket(max(count.values()) / n)}"] = 1.0
-        raw[f"l{_bucket(sum(map(len, words)) / n / 20)}"] = 1.0
-        raw[f"n{min(12, n.bit_length())}"] = 1.0
-        raw[f"u{_bucket(sum(map(str.isupper, words)) / n)}"] = 1.0
-        lines = text.split("\n")
-        raw[f"m{_bucket(1 - len(set(lines)) / len(lines))}"] = 1.0
-    else:
-        raw["empty"] = 1.0
-    ids = np.array([zlib.crc32(k.encode("utf-8", "replace")) & ((1 << BITS) - 1) for k in raw], dtype=np.int32)
-    values = np.fromiter(raw.values(), dtype=np.float32, count=len(raw))
-    order = np.argsort(ids, kind="stable")
-    return ids[order], values[order]
+#: Signs of a word's shape that count: runs of capitals, other letters, digits and equal signs are one each.
+SHAPE_SIGNS = 12
+#: Kind of each byte: 1 letters and what is not ASCII, 2 capitals, 3 digits, else the sign itself.
+_KIND = np.array([2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 1 if 97 <= b <= 122 or b >= 128 or b == 95 else b for b in range(256)], dtype=np.uint8)
+#: A random value of each kind at each place of a shape.
+_SIGNS = mix(np.arange(1, 256 * SHAPE_SIGNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(256, SHAPE_SIGNS)
+
+
+def _ids(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _named(name: str) -> int:
+    return zlib.crc32(name.encode()) & ((1 << BITS) - 1)
+
+
+def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's shape."""
+    kind = _KIND[data]
+    first = np.append(True, kind[1:] != kind[:-1])
+    first[starts] = True
+    at = np.cumsum(first)
+    inside = np.repeat(np.arange(len(starts)), ends - starts)
+    where = np.repeat(starts, ends - starts) + np.arange(len(inside)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
+    place = at[where] - at[starts][inside]
+    kept = first[where] & (place < SHAPE_SIGNS)
+    total = np.append(np.uint64(0), np.cumsum(_SIGNS[kind[where[kept]], place[kept]], dtype=np.uint64))
+    stops = np.cumsum(np.bincount(inside[kept], minlength=len(starts)))
+    return mix(total[stops] - total[np.append(0, stops[:-1])]) if len(starts) else np.zeros(0, dtype=np.uint64)
+
+
+def _share(part: np.ndarray, whole: np.ndarray, steps: int = 10) -> np.ndarray:
+    return np.minimum(steps - 1, (part / whole * steps).astype(np.int64))
+
+
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its hashed feature ids, ascending, and their values. A text without words has the feature of emptiness alone.
+
+    Features are words (lower-cased in A-Z, as parts of a vector of length 1),
+    shapes of words (as shares), and buckets of the shares of repeats, distinct
+    words, the most frequent word, capitals and repeated lines, of the words'
+    mean length and their number.
+    """
+    data, starts, ends, n = words_of([t.encode("utf-8", "surrogatepass") for t in texts])
+    doc = np.repeat(np.arange(len(texts)), n)
+    exact = hash_words(data, starts, ends, EACH_BYTE)
+    words, shapes = _ids(hash_words(data, starts, ends, FOLDED_BYTE)), _ids(_shapes(data, starts, ends))
+    full = np.maximum(1, n)
+
+    def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pairs, c = np.unique(doc << BITS | ids, return_counts=True)
+        return pairs >> BITS, pairs & ((1 << BITS) - 1), c.astype(np.float64)
+
+    in_doc, word, c = counted(words)
+    norm = np.sqrt(np.bincount(in_doc, c * c, minlength=len(texts)))
+    parts = [(in_doc, word, c / norm[in_doc])]
+    in_doc, form, c = counted(shapes)
+    parts.append((in_doc, form, c / full[in_doc]))
+
+    order = np.lexsort((exact, doc))
+    new = np.append(True, (exact[order][1:] != exact[order][:-1]) | (doc[order][1:] != doc[order][:-1]))[: len(order)]
+    firsts = np.flatnonzero(new)
+    distinct = np.bincount(doc[order][firsts], minlength=len(texts))
+    most = np.zeros(len(texts), dtype=np.int64)
+    np.maximum.at(most, doc[order][firsts], np.diff(np.append(firsts, len(order))))
+    repeats = np.bincount(doc[1:][(exact[1:] == exact[:-1]) & (doc[1:] == doc[:-1])], minlength=len(texts))
+    heads = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    length = np.bincount(doc, heads[ends] - heads[starts], minlength=len(texts))
+    upper, lower = (np.append(0, np.cumsum((data >= a) & (data <= a + 25))) for a in (65, 97))
+    capitals = np.bincount(doc[(upper[ends] > upper[starts]) & (lower[ends] == lower[starts])], minlength=len(texts))
+    lines = [t.split("\n") for t in texts]
+    buckets = {
+        "r": _share(repeats, full), "d": _share(distinct, full), "t": _share(most, full), "l": _share(length / 20, full), "u": _share(capitals, full),
+        "n": np.minimum(12, np.frexp(n.astype(np.float64))[1]), "m": _share(np.array([len(x) - len(set(x)) for x in lines], dtype=np.float64), np.array([max(1, len(x)) for x in lines])),
+    }
+    there = np.flatnonzero(n > 0)
+    for name, bucket in buckets.items():
+        ids = np.array([_named(f"{name}{k}") for k in range(13)])
+        parts.append((there, ids[bucket[there]], np.ones(len(there))))
+    none = np.flatnonzero(n == 0)
+    parts.append((none, np.full(len(none), _named("empty")), np.ones(len(none))))
+
+    pairs, where = np.unique(np.concatenate([d << BITS | i for d, i, _ in parts]), return_inverse=True)
+    values = np.bincount(where, np.concatenate([v for _, _, v in parts]), minlength=len(pairs)).astype(np.float32)
+    cuts = np.searchsorted(pairs >> BITS, np.arange(len(texts) + 1))
+    ids = (pairs & ((1 << BITS) - 1)).astype(np.int32)
+    return [(ids[a:b], values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @dataclass
@@ -74,11 +115,10 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending; one fewer than the grades
 
-    def tails(self, text: str) -> np.ndarray:
-        """P(grade >= 1), P(grade >= 2), ..."""
-        ids, values = features(text)
-        s = float((self.weights[ids] * values).sum(dtype=np.float64))
-        return 1 / (1 + np.exp(-np.clip(s - self.thresholds, -30, 30)))
+    def tails(self, texts: list[str]) -> np.ndarray:
+        """P(grade >= 1), P(grade >= 2), ... of each text, one row each."""
+        s = np.array([(self.weights[ids] * values).sum(dtype=np.float64) for ids, values in features(texts)], dtype=np.float64)
+        return 1 / (1 + np.exp(-np.clip(s[:, None] - self.thresholds, -30, 30)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, rounds: int = 250, ridge: float = 2e-5, step: float = 0.08) -> OrdinalModel:
@@ -126,8 +166,10 @@ def learn(rows: DataFrame, grades: int) -> OrdinalModel:
     """Fit on rows (text, y): a sample whose size the caller bounds. Grades outside 0 .. grades - 1 are left out."""
 
     def extract(batches):
-        for b in batches:
-            found = [features(t) for t in b.column("text").to_pylist()]
+        import pyarrow.compute  # noqa: F401
+
+        for b in chunks(batches):
+            found = features(b.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"y": b.column("y"), "ids": pa.array([f[0].tobytes() for f in found], pa.binary()), "vals": pa.array([f[1].tobytes() for f in found], pa.binary())})
 
     got = rows.filter(F.col("y").between(0, grades - 1)).mapInArrow(extract, "y int, ids binary, vals binary").collect()
@@ -153,8 +195,8 @@ def grade_documents(documents: DataFrame, ratings: DataFrame, grades: int = 3, s
     model = learn(training_rows(documents, ratings, "grade", keep, fit_rows, "doc_id", "text"), grades)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        tails = [model.tails(t) for t in part.column("text").to_pylist()]
-        columns = [part.column("doc_id"), pa.array([float(t.sum()) for t in tails], pa.float64()), *(pa.array([float(t[k]) for t in tails], pa.float64()) for k in range(grades - 1))]
+        tails = model.tails(part.column("text").to_pylist())
+        columns = [part.column("doc_id"), pa.array(tails.sum(axis=1), pa.float64()), *(pa.array(tails[:, k], pa.float64()) for k in range(grades - 1))]
         return pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "expected_grade", *(f"p_at_least_{k}" for k in range(1, grades))]
@@ -164,12 +206,16 @@ def grade_documents(documents: DataFrame, ratings: DataFrame, grades: int = 3, s
 
 
 def keep_accepted(documents: DataFrame, ratings: DataFrame, grades: int = 3, select_at: int = 1, fit_rows: int = 6_000) -> DataFrame:
-    """The accepted documents with all their columns, judged in place: no join on ids."""
+    """The accepted documents with all their columns, judged in place: no join on ids.
+
+    Null texts count as empty; null ids and repeated rows stay or go like any;
+    an empty table gives no rows; without ratings every document is accepted.
+    """
     model = learn(training_rows(documents, ratings, "grade", F.lit(True), fit_rows, "doc_id", "text"), grades)
     schema = documents.schema
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        good = [model.tails(t or "")[select_at - 1] >= 0.5 for t in part.column("text").to_pylist()]
+        good = model.tails([t or "" for t in part.column("text").to_pylist()])[:, select_at - 1] >= 0.5
         return part.filter(pa.array(good, pa.bool_()))
 
     return map_chunks(documents, run, schema)

@@ -183,6 +183,78 @@ def test_quality_held_out(spark):
     assert out.filter("p_at_least_1 < p_at_least_2 or abs(expected_grade - p_at_least_1 - p_at_least_2) > 1e-9").count() == 0
 
 
+def plain_features(text):
+    """The features of a text, one word at a time."""
+    words, out = re.findall(r"[^\x20\x09-\x0D]+", text), defaultdict(float)
+    mark = lambda s: zlib.crc32(s.encode()) % 2**quality.BITS
+    if not words:
+        return {mark("empty"): 1.0}
+    lower = Counter(int(ngram_join.word_hashes([w.encode()])[0][0]) >> 64 - quality.BITS for w in words)
+    for k, c in lower.items():
+        out[k] += c / math.sqrt(sum(v * v for v in lower.values()))
+    for w in words:
+        kinds = "".join("A" if b in range(65, 91) else "9" if b in range(48, 58) else "a" if b >= 128 or chr(b).isalpha() or b == 95 else chr(b) for b in w.encode())
+        signs = re.sub(r"(.)\1*", r"\1", kinds)[: quality.SHAPE_SIGNS]
+        total = sum(int(quality._SIGNS[{"A": 2, "9": 3, "a": 1}.get(s, ord(s)), i]) for i, s in enumerate(signs)) % 2**64
+        out[int(ngram_join.mix(np.array([total], dtype=np.uint64))[0]) >> 64 - quality.BITS] += 1 / len(words)
+    n, lines, share = len(words), text.split("\n"), lambda x: min(9, int(x * 10))
+    out[mark(f"r{share(sum(a == b for a, b in zip(words, words[1:])) / n)}")] += 1
+    out[mark(f"d{share(len(set(words)) / n)}")] += 1
+    out[mark(f"t{share(max(Counter(words).values()) / n)}")] += 1
+    out[mark(f"l{share(sum(map(len, words)) / 20 / n)}")] += 1
+    out[mark(f"u{share(sum(bool(re.search('[A-Z]', w)) and not re.search('[a-z]', w) for w in words) / n)}")] += 1
+    out[mark(f"n{min(12, n.bit_length())}")] += 1
+    out[mark(f"m{share((len(lines) - len(set(lines))) / len(lines))}")] += 1
+    return out
+
+
+def test_quality_features_by_brute_force(spark):
+    texts = ["", " \n ", "x", "A A a B-2 b--2 USA 12", "é日本 É_x a\na\na", "...!!!???" * 3] + [r["text"] for r in tables(spark, SF, "documents").limit(25).collect()]
+    for text, (ids, values) in zip(texts, quality.features(texts), strict=True):
+        want = plain_features(text)
+        assert ids.tolist() == sorted(want) and values == pytest.approx([want[k] for k in sorted(want)], rel=1e-5)
+    assert all(np.array_equal(a[0], quality.features([t])[0][0]) for t, a in zip(texts, quality.features(texts), strict=True))
+
+
+def test_quality_is_recomputed_from_the_model(spark):
+    documents, ratings = tables(spark, SF, "documents"), quality.graded(tables(spark, SF, "labels"))
+    model = quality.learn(toxicity.training_rows(documents, ratings, "grade", F.lit(True), 6_000, "doc_id", "text"), 3)
+    got = {r["doc_id"]: r for r in quality.grade_documents(documents, ratings).collect()}
+    for r in documents.collect():
+        s = sum(model.weights[k] * v for k, v in plain_features(r["text"]).items())
+        one, two = (1 / (1 + math.exp(-(s - t))) for t in model.thresholds)
+        g = got[r["doc_id"]]
+        assert (g["p_at_least_1"], g["p_at_least_2"], g["expected_grade"]) == pytest.approx((one, two, one + two), abs=1e-4)
+        assert g["accepted"] == (g["p_at_least_1"] >= 0.5)
+
+
+def test_fit_is_an_optimum():
+    """No small step from the fitted weights and thresholds raises the penalised likelihood, summed one row at a time."""
+    r = random.Random(1)
+    rows = [(np.array([y % 3, 5 + r.randrange(4)], dtype=np.int32), np.array([1.0, 0.5], dtype=np.float32), min(3, max(0, y + r.choice([-1, 0, 0, 0, 1])))) for y in (r.randrange(4) for _ in range(120))]
+    model = quality.fit(rows, 4, rounds=3000, ridge=1e-3, step=0.02)
+    share = Counter(y for _, _, y in rows)
+    weight = {y: 1 / math.sqrt(share[y] / len(rows)) for y in share}
+    total = sum(weight[y] for _, _, y in rows)
+
+    def loss(weights, thresholds):
+        out = 0.5e-3 * sum(w * w for w in weights)
+        for ids, values, y in rows:
+            s = sum(weights[k] * v for k, v in zip(ids, values, strict=True))
+            tails = [1.0, *(1 / (1 + math.exp(-(s - t))) for t in thresholds), 0.0]
+            out -= weight[y] / total * math.log(tails[y] - tails[y + 1])
+        return out
+
+    w, t = model.weights[:9].tolist(), model.thresholds.tolist()
+    best = loss(w, t)
+    for k in range(9):
+        for step in (-0.05, 0.05):
+            assert loss([x + step * (i == k) for i, x in enumerate(w)], t) > best - 1e-6
+    for k in range(3):
+        for step in (-0.05, 0.05):
+            assert loss(w, [x + step * (i == k) for i, x in enumerate(t)]) > best - 1e-6
+
+
 def test_thresholds_are_ordered():
     r = np.random.default_rng(0)
     rows = [(np.array([int(y)], dtype=np.int32), np.array([1.0], dtype=np.float32), int(y)) for y in r.integers(0, 4, 300)]
@@ -210,6 +282,30 @@ def test_folding_and_exceptions():
     assert x("trash") > x("trash" + " word" * 5000) > 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores recomputed with plain substring search, from a lexicon counted one document at a time."""
+    documents, marks = tables(spark, "/root/testdata/sf0.01", "documents"), tables(spark, "/root/testdata/sf0.01", "labels")
+    sample = toxicity.training_rows(documents, marks, "toxic", ~toxicity.held_out(), 12_000, "doc_id", "text")
+    lexicon = toxicity.learn_lexicon(sample)
+    mine = sample.filter(F.pmod(F.xxhash64("text", F.lit("curve")), F.lit(4)) != 0).collect()
+    seen = {y: Counter(p for r in mine if r["y"] == y for p in toxicity.patterns(toxicity.fold(r["text"]))) for y in (0, 1)}
+    toxic, clean = (sum(r["y"] == y for r in mine) for y in (1, 0))
+    chosen = [toxicity.choose([(p, t, seen[0][p]) for p, t in sorted(seen[1].items())], toxic, clean, min_weight=w) for w in toxicity.LEAST_WEIGHTS]
+    assert lexicon.weights and any(lexicon.weights == pytest.approx(c) for c in chosen)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(documents, lexicon).collect()}
+    for r in documents.limit(150).collect():
+        folded, hits = toxicity.fold(r["text"]), {}
+        spared = [(a, a + len(toxicity.fold(e))) for e in lexicon.exceptions for a in [m.start() for m in re.finditer(f"(?={re.escape(toxicity.fold(e))})", folded)]]
+        for p, w in lexicon.weights.items():
+            for m in re.finditer(f"(?={re.escape(p)})", folded):
+                at, end = m.start(), m.start() + len(p) - 1
+                if p.endswith(" ") or folded[end + 1] != " ":
+                    hits[at] = max(hits.get(at, (0.0, 0)), (w, len(p)))
+        once = {folded[a : a + n]: w for a, (w, n) in hits.items() if not any(x <= a < y for x, y in spared)}
+        x = sum(once.values()) / math.log(math.e + folded.count(" ") / 200)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, lexicon.slope * x + lexicon.offset)))))
+
+
 # --- 3: personal data
 
 
