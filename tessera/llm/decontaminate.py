@@ -26,7 +26,7 @@ from tessera.operators.components import checkpointed
 #: Edits allowed, as a share of an item's characters.
 EDIT_SHARE = 0.08
 #: q of items from so many characters on; shorter ones are one q-gram as a whole, and count where they stand as whole words.
-Q_FROM = ((600, 12), (26, 8), (12, 5))
+Q_FROM = ((600, 12), (64, 10), (26, 8), (12, 5))
 #: Characters of benchmark items in one index; more items are searched in further passes.
 BLOCK_CHARS = 2_000_000
 #: Shared q-grams that are laid out at a time.
