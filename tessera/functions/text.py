@@ -2,47 +2,76 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ranges whose accented letters are folded: Latin with extensions, Greek and Cyrillic.
-_RANGES = ((0xA0, 0x530), (0x1E00, 0x2000))
-#: Ranges with characters that stand for several letters or digits.
-_WIDE = ((0xA0, 0x250), (0x2100, 0x2190), (0xFB00, 0xFB07))
+#: Hangul syllables: their parts are letters as they are, so they stay whole.
+_HANGUL = range(0xAC00, 0xD7A4)
 
 
 def _base(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-@lru_cache(maxsize=1)
-def _single() -> tuple[str, str]:
-    """Characters that decompose to one base character, and these."""
-    pairs = [(chr(i), _base(chr(i))) for a, b in _RANGES for i in range(a, b)]
-    pairs = [(c, d) for c, d in pairs if len(d) == 1 and d != c]
-    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+@lru_cache(maxsize=2)
+def _tables(ascii_only: bool) -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """From all of Unicode: characters that become one other, and these; those that become several; and a pattern of the latter.
+
+    With ascii_only what isn't ASCII in the result is dropped; characters of
+    which nothing is left are in no table.
+    """
+    single: list[tuple[str, str]] = []
+    several: list[tuple[str, str]] = []
+    for i in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= i < 0xE000 or i in _HANGUL:
+            continue
+        c = chr(i)
+        if unicodedata.decomposition(c):
+            to = _base(c)
+            to = "".join(x for x in to if x < "\x80") if ascii_only else to
+            if to and to != c:
+                (single if len(to) == 1 else several).append((c, to))
+    return "".join(c for c, _ in single), "".join(d for _, d in single), tuple(several), _class(ord(c) for c, _ in several)
+
+
+def _class(points: Iterable[int]) -> str:
+    """A pattern of the code points, given in order."""
+    ranges: list[list[int]] = []
+    for i in points:
+        if ranges and i == ranges[-1][1] + 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 @lru_cache(maxsize=1)
-def _several() -> list[tuple[str, str]]:
-    pairs = [(chr(i), _base(chr(i))) for a, b in _WIDE for i in range(a, b)]
-    return [(c, d) for c, d in pairs if len(d) > 1]
+def _marks() -> str:
+    """A pattern of the characters of which nothing is left without marks."""
+    return _class(i for i in range(0x300, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and not _base(chr(i)))
+
+
+def _spelled(c: Column, ascii_only: bool) -> Column:
+    """Compatibility forms and accented letters as their base letters. Forms of several letters are rare; only texts that have them are taken apart."""
+    ones, bases, several, pattern = _tables(ascii_only)
+    spell = F.create_map(*[F.lit(x) for pair in several for x in pair])
+    wide = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(pattern), spell[x]).otherwise(x)), "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.when(c.rlike(pattern), wide).otherwise(c), ones, bases)).otherwise(c)
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without their marks; letters that have no base form, like ß, stay."""
-    return F.regexp_replace(F.translate(c, *_single()), r"[̀-ͯ]", "")
+    """Compatibility forms spelled out, letters without their marks; letters that have no base form, like ß, stay."""
+    return F.regexp_replace(_spelled(c, False), _marks(), "")
 
 
 def _ascii(c: Column) -> Column:
     """Compatibility forms spelled out, marks off, and all that is still not ASCII dropped."""
-    plain = F.translate(c, *_single())
-    for wide, spelled in _several():
-        plain = F.replace(plain, F.lit(wide), F.lit(spelled))
-    return F.regexp_replace(F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(_spelled(c, True), r"[^\x00-\x7F]", "")
 
 
 def normalize_text(c: Column) -> Column:
@@ -70,21 +99,32 @@ def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Runs of low to high characters of the lower-cased text, over word limits; white space of two and more is one space."""
     t = F.regexp_replace(F.lower(c), r"\s\s+", " ")
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(t) - (n - 1))
-        return F.when(F.length(t) >= n, F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def gram(chars: Column, n: int):
+        return lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+
+    def of(chars: Column) -> Column:
+        # by place in an array: a substring would count from the text's beginning each time
+        return F.flatten(F.array(*[
+            F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), gram(chars, n))).otherwise(F.array().cast("array<string>"))
+            for n in range(low, high + 1)
+        ]))
+
+    return F.element_at(F.transform(F.array(F.filter(F.split(t, ""), lambda x: x != "")), lambda x: of(x)), 1)
+
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+#: The patterns of sweep tokens and of runs that may be acronyms.
+SWEEP_TOKEN = r"([A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*)"
+ACRONYM_RUN = r"([A-Z0-9&\-]{2,})"
 
 
 def sweep_tokens(c: Column) -> Column:
     """Lower-cased ASCII words, which dots and hyphens may join; repeats kept."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*)"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(c, F.lit(SWEEP_TOKEN), F.lit(1)), F.lower)
 
 
 def find_acronyms(c: Column) -> Column:
     """Distinct runs of two and more capitals, digits, & and -, without the signs, with a capital; lower-cased."""
-    runs = F.transform(F.regexp_extract_all(c, F.lit(r"([A-Z0-9&\-]{2,})"), F.lit(1)), lambda r: F.regexp_replace(r, r"[^A-Za-z0-9]", ""))
+    runs = F.transform(F.regexp_extract_all(c, F.lit(ACRONYM_RUN), F.lit(1)), lambda r: F.regexp_replace(r, r"[^A-Za-z0-9]", ""))
     return F.array_distinct(F.transform(F.filter(runs, lambda r: (F.length(r) >= 2) & r.rlike("[A-Z]")), F.lower))
 
 
@@ -93,19 +133,6 @@ def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def token_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the token counts of two arrays; 0 if either is empty."""
-
-    def count(tokens: Column, t: Column) -> Column:
-        return F.size(F.filter(tokens, lambda x: x == t)).cast("double")
-
-    def dot(x: Column, y: Column, over: Column) -> Column:
-        return F.aggregate(over, F.lit(0.0), lambda acc, t: acc + count(x, t) * count(y, t))
-
-    norm = F.sqrt(dot(a, a, F.array_distinct(a)) * dot(b, b, F.array_distinct(b)))
-    return F.when(norm > 0, dot(a, b, F.array_intersect(a, b)) / norm).otherwise(F.lit(0.0))
-
-
 def unordered(a: str, b: str) -> list[Column]:
     """The pair's key, whichever comes first."""
     return [F.least(F.col(a), F.col(b)).alias("lo"), F.greatest(F.col(a), F.col(b)).alias("hi")]

@@ -2,23 +2,140 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import vector_tokens, word_ngrams
+from tessera.operators.components import checkpointed
 from tessera.operators.tfidf import tfidf
 
 #: Cosines are ranked at this many digits, so that equal ones tie however they were summed.
 DIGITS = 6
 
 
-def cosine_pairs(vectors: DataFrame) -> DataFrame:
-    """(a, b, sim) with a < b of all pairs that share a term: an inverted-index join, each pair made once."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("sim"))
+#: Records on a side of a block pair: a task holds the square of it in doubles.
+BLOCK_ROWS = 2048
+#: Products of shared terms up to which neighbours are searched exactly.
+EXACT_PRODUCTS = 100_000_000_000
+#: Products that a task lays out at a time.
+_SLICE = 4_000_000
+
+
+def block_count(n: int, rows: int = BLOCK_ROWS) -> int:
+    """Blocks for n records, so that one holds about `rows` of them."""
+    return max(1, -(-n // rows))
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """(id, t, w): one row a record, its terms as 64-bit hashes in ascending order, with their weights."""
+    return vectors.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w"))).alias("v")).select("id", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+
+
+def _pairs_of_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows (with their block in `_b`) as they meet: (q, c, side, ...) for every pair q <= c of blocks."""
+    last = F.lit(blocks - 1)
+    left = rows.select(F.col("_b").alias("q"), F.explode(F.sequence(F.col("_b"), last)).alias("c"), F.lit(0).alias("side"), "*")
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("q"), F.col("_b").alias("c"), F.lit(1).alias("side"), "*")
+    return left.unionByName(right).drop("_b")
+
+
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows with their block. The hash deals them evenly, whatever the ids are."""
+    return rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+
+def _best(ids, others, sims, k: int) -> tuple[list, list, list]:
+    """(src, cand, sim) of the k greatest sims above 0 in each row, ties by candidate; `others` ascending."""
+    src, cand, out = [], [], []
+    if sims.shape[1] > 4 * k:
+        cut = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+    else:
+        cut = np.full(sims.shape[0], 0.0)
+    for i, row in enumerate(sims):
+        js = np.flatnonzero((row >= cut[i]) & (row > 0))
+        js = js[np.lexsort((js, -row[js]))][:k]
+        src += [ids[i]] * len(js)
+        cand += others[js].tolist()
+        out += row[js].tolist()
+    return src, cand, out
+
+
+def block_neighbours(vectors: DataFrame, k: int, blocks: int, id_type: str) -> DataFrame:
+    """(src_id, cand_id, cosine_sim): for each record the k best of every pair of blocks that it is in, by exact sparse products.
+
+    A task holds two blocks and the matrix of their cosines; k rows per record
+    and block pair leave it, however common a term is.
+    """
+    def near(group: pd.DataFrame) -> pd.DataFrame:
+        same = group["q"].iloc[0] == group["c"].iloc[0]
+        a = group[group.side == 0].sort_values("id")
+        b = a if same else group[group.side == 1].sort_values("id")
+        empty = pd.DataFrame({"src_id": a.id.iloc[:0], "cand_id": a.id.iloc[:0], "cosine_sim": np.zeros(0)})
+        if a.empty or b.empty:
+            return empty
+        entries = []
+        for x in (a, b):
+            lengths = np.array([len(t) for t in x.t])
+            terms, weights = np.concatenate(list(x.t)), np.concatenate(list(x.w))
+            rows = np.repeat(np.arange(len(x)), lengths)
+            order = np.argsort(terms, kind="stable")
+            entries.append((terms[order], rows[order], weights[order]))
+        (ta, ra, wa), (tb, rb, wb) = entries
+        first = np.searchsorted(tb, ta, side="left")
+        times = np.searchsorted(tb, ta, side="right") - first
+        sims = np.zeros(len(a) * len(b))
+        ends = np.cumsum(times)
+        at = 0
+        while at < len(ta):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, side="right")))
+            n = times[at:to]
+            mine = np.repeat(np.arange(at, to), n)
+            theirs = np.repeat(first[at:to], n) + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+            sims += np.bincount(ra[mine] * len(b) + rb[theirs], wa[mine] * wb[theirs], minlength=len(sims))
+            at = to
+        sims = np.round(sims.reshape(len(a), len(b)), DIGITS)
+        if same:
+            np.fill_diagonal(sims, -1.0)
+        ia, ib = a.id.to_numpy(), b.id.to_numpy()
+        parts = [_best(ia, ib, sims, k)] if same else [_best(ia, ib, sims, k), _best(ib, ia, np.ascontiguousarray(sims.T), k)]
+        return pd.DataFrame({"src_id": [x for p in parts for x in p[0]], "cand_id": [x for p in parts for x in p[1]], "cosine_sim": [x for p in parts for x in p[2]]})
+
+    met = _pairs_of_blocks(_dealt(packed(vectors), blocks), blocks)
+    return met.groupBy("q", "c").applyInPandas(near, f"src_id {id_type}, cand_id {id_type}, cosine_sim double")
+
+
+def prefix_neighbours(vectors: DataFrame, floor: float, id_type: str) -> DataFrame:
+    """(src_id, cand_id, cosine_sim) of all pairs with a cosine of `floor` or more, both ways.
+
+    A record's terms stand from the rarest on; what comes after its prefix has
+    a length below the floor. A pair that reaches the floor shares a term that
+    is in both prefixes, so common terms, being last, are seldom looked up.
+    """
+    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    order = [F.col("df").desc(), F.col("term").desc()]
+    rest = Window.partitionBy("id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    kept = vectors.join(df, "term").withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(rest)).filter(F.col("_rest") >= (floor - 1e-9) ** 2).select("id", "term")
+    kept = checkpointed(kept)
+    a, b = kept.alias("a"), kept.alias("b")
+    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    whole = checkpointed(packed(vectors))
+    left, right = whole.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("w").alias("wa")), whole.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("w").alias("wb"))
+
+    @F.pandas_udf("double")
+    def dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
+        out = np.zeros(len(ta))
+        for i, (x, u, y, v) in enumerate(zip(ta, wa, tb, wb, strict=True)):
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            hit = y[at] == x
+            out[i] = (u[hit] * v[at[hit]]).sum()
+        return pd.Series(out)
+
+    sims = pairs.join(left, "a").join(right, "b").select("a", "b", dot("ta", "wa", "tb", "wb").alias("sim"))
+    return both_ways(sims.filter(F.round("sim", DIGITS) >= floor)).select(F.col("src_id").cast(id_type), F.col("cand_id").cast(id_type), "cosine_sim")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -33,13 +150,28 @@ def top_k(neighbours: DataFrame, k: int, key: str = "src_id") -> DataFrame:
     return neighbours.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn(records: DataFrame, k: int = 20, min_sim: float | None = None, terms: Column | None = None) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, backend: str = "auto", floor: float = 0.05) -> DataFrame:
+    """(src_id, cand_id, cosine_sim, rank): the k nearest by the backend that choose_backend names."""
+    vectors = checkpointed(vectors)
+    id_type = vectors.schema["id"].dataType.simpleString()
+    products = vectors.groupBy("term").agg((F.count("*").cast("double") * F.count("*")).alias("x")).agg(F.sum("x")).first()[0] or 0.0
+    n = vectors.select("id").distinct().count()
+    if choose_backend(n, products, backend) == "exact":
+        found = block_neighbours(vectors, k, block_count(n), id_type)
+    else:
+        found = prefix_neighbours(vectors, floor, id_type)
+    return top_k(found, k)
+
+
+def knn(records: DataFrame, k: int = 20, min_sim: float | None = None, terms: Column | None = None, backend: str = "auto", floor: float = 0.05) -> DataFrame:
     """(src_id, cand_id, cosine_sim, rank): the k nearest of records (id1, affil1) by word 1- and 2-gram TF-IDF.
 
-    Records that share no term are no neighbours, so fewer than k may come.
+    Records that share no term are no neighbours, so fewer than k may come. The
+    prefix backend, taken when exact products would be too many, finds every
+    neighbour with a cosine of `floor` or more, and none below.
     """
     terms = word_ngrams(vector_tokens(F.col("affil1"))) if terms is None else terms
-    near = top_k(both_ways(cosine_pairs(tfidf(records, terms))), k)
+    near = neighbours(tfidf(records, terms), k, backend, floor)
     return near if min_sim is None else near.filter(F.col("cosine_sim") >= min_sim)
 
 
@@ -58,36 +190,35 @@ def enrich(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.join(src, "src_id", "left").join(cand, "cand_id", "left")
 
 
-def knn_dense(vectors: DataFrame, k: int = 10, blocks: int = 16) -> DataFrame:
-    """Exact nearest neighbours of dense vectors (vec_id, embedding), by blocks.
+def knn_dense(vectors: DataFrame, k: int = 10, blocks: int | None = None) -> DataFrame:
+    """Exact nearest neighbours of dense vectors (vec_id, embedding), by pairs of blocks of about BLOCK_ROWS vectors.
 
-    Every vector is a query in its block and meets the blocks one at a time, so
-    a task holds one block pair; the k best of each block pair go on.
+    A task holds one pair of blocks and serves both; the k best of each go on.
+    Without `blocks` their number follows from that of the vectors.
     """
-    import numpy as np
-    import pandas as pd
-
-    unit = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("q"))
-    left = unit.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
-    right = unit.withColumnRenamed("q", "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
+    blocks = blocks or block_count(vectors.count())
+    id_type = vectors.schema["vec_id"].dataType.simpleString()
+    unit = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
     def near(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group.side == 0].sort_values("vec_id"), group[group.side == 1].sort_values("vec_id")
+        same = group["q"].iloc[0] == group["c"].iloc[0]
+        a = group[group.side == 0].sort_values("id")
+        b = a if same else group[group.side == 1].sort_values("id")
         if a.empty or b.empty:
-            return pd.DataFrame({"src_id": [], "cand_id": [], "cosine_sim": []})
+            return pd.DataFrame({"src_id": a.id.iloc[:0], "cand_id": a.id.iloc[:0], "cosine_sim": np.zeros(0)})
         x, y = np.stack(a.v), np.stack(b.v)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-        ids, sims = b.vec_id.to_numpy(), np.round(x @ y.T, DIGITS)
-        out = []
-        for i, s in zip(a.vec_id.to_numpy(), sims, strict=True):
-            s = np.where(ids == i, -np.inf, s)
-            best = np.lexsort((ids, -s))[:k]
-            out += [(i, ids[j], s[j]) for j in best if np.isfinite(s[j])]
-        return pd.DataFrame(out, columns=["src_id", "cand_id", "cosine_sim"])
-
-    found = left.unionByName(right).groupBy("q", "c").applyInPandas(near, "src_id long, cand_id long, cosine_sim double")
-    return top_k(found, k)
+        sims = np.round(x @ y.T, DIGITS) + 2.0  # above 0, as neighbours may point away
+        if same:
+            np.fill_diagonal(sims, -1.0)
+        ia, ib = a.id.to_numpy(), b.id.to_numpy()
+        parts = [_best(ia, ib, sims, k)] if same else [_best(ia, ib, sims, k), _best(ib, ia, np.ascontiguousarray(sims.T), k)]
+        found = pd.DataFrame({"src_id": [i for p in parts for i in p[0]], "cand_id": [i for p in parts for i in p[1]], "cosine_sim": [i for p in parts for i in p[2]]})
+        return found.assign(cosine_sim=np.round(found.cosine_sim.to_numpy(dtype=float) - 2.0, DIGITS))
+
+    met = _pairs_of_blocks(_dealt(unit, blocks), blocks)
+    return top_k(met.groupBy("q", "c").applyInPandas(near, f"src_id {id_type}, cand_id {id_type}, cosine_sim double"), k)
 
 
 def knn_lsh(vectors: DataFrame, k: int = 10, bucket_length: float = 0.5, tables: int = 10, radius: float = 1.3) -> DataFrame:
@@ -115,10 +246,15 @@ def block_pairs(blocks: DataFrame, overlap: int = 1) -> DataFrame:
     return shared.filter(F.col("n_shared") >= overlap)
 
 
-def choose_backend(n: int, sum_df2: int | None = None, backend: str = "auto") -> str:
-    """exact or lsh: exact while the index join stays below a billion products."""
-    if backend not in ("auto", "exact", "lsh"):
-        raise ValueError(f"unknown backend {backend!r}")
+def sorted_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs in the order of their ids, for a sink that keeps it."""
+    return pairs.orderBy("id_left", "id_right")
+
+
+def choose_backend(n: int, products: float | None = None, backend: str = "auto") -> str:
+    """exact or prefix: exact while the products of shared terms (n squared if unknown) stay below EXACT_PRODUCTS."""
+    if backend not in ("auto", "exact", "prefix"):
+        raise ValueError(f"unknown backend {backend!r}; choose auto, exact or prefix")
     if backend != "auto":
         return backend
-    return "exact" if (sum_df2 if sum_df2 is not None else n * n) <= 1_000_000_000 else "lsh"
+    return "exact" if (products if products is not None else float(n) * n) <= EXACT_PRODUCTS else "prefix"

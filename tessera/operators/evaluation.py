@@ -40,54 +40,73 @@ def _by(group: list[str]) -> list[Column]:
     return [F.col(g) for g in group]
 
 
+#: Ranges of scores in which a curve is summed; a window holds one range of a group.
+RANGES = 64
+
+
 def pr_curve(scored: DataFrame, group: tuple[str, ...] = (), label: str = "label", score: str = "score") -> DataFrame:
-    """(group, threshold, tp, fp, positives, precision, recall) at `score >= threshold`, one row per distinct score."""
+    """(group, threshold, p, n, tp, fp, positives, rows, precision, recall) at `score >= threshold`, one row per distinct score; p and n count the score's own rows.
+
+    Scores are cut into ranges; sums within a range are added to those of the
+    ranges above, so that no task ranks all scores.
+    """
     g = list(group)
     points = scored.groupBy(*g, F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*g).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*g)
-    out = points.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "positives": F.sum("p").over(whole), "rows": F.sum("n").over(whole)})
+    cuts = scored.agg(F.percentile_approx(F.col(score).cast("double"), [i / RANGES for i in range(1, RANGES)], 100 * RANGES)).first()[0] or []
+    above = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]), lambda x: x > F.col("threshold"))) if cuts else F.lit(0)
+    points = points.withColumn("_range", above)
+    sums = points.groupBy(*g, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    before, whole = Window.partitionBy(*g).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*g)
+    sums = sums.select(
+        *[F.col(c).alias(f"_g_{c}") for c in g], F.col("_range").alias("_at"),
+        F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_seen"),
+        F.sum("_p").over(whole).alias("positives"), F.sum("_n").over(whole).alias("rows"),
+    )
+    same = F.col("_range") == F.col("_at")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    down = Window.partitionBy(*g, "_range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    out = points.withColumns({"_in_tp": F.sum("p").over(down), "_in_seen": F.sum("n").over(down)}).join(F.broadcast(sums) if not g else sums, same)
+    out = out.withColumns({"tp": F.col("_in_tp") + F.col("_tp"), "seen": F.col("_in_seen") + F.col("_seen")})
     return out.select(
-        *g, "threshold", "tp", (F.col("seen") - F.col("tp")).alias("fp"), "positives", "rows",
+        *g, "threshold", "p", "n", "tp", (F.col("seen") - F.col("tp")).alias("fp"), "positives", "rows",
         (F.col("tp") / F.col("seen")).alias("precision"),
         F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0).alias("recall"),
     )
 
 
 def average_precision(curve: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    """(group, average_precision): precision summed over the steps of recall."""
-    w = Window.partitionBy(*group).orderBy(F.desc("threshold"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return curve.withColumn("area", step * F.col("precision")).groupBy(*group).agg(F.sum("area").alias("average_precision"))
+    """(group, average_precision): precision summed over the steps of recall, which are the scores' own positives; 0 without positives."""
+    step = F.when(F.col("positives") > 0, F.col("p") / F.col("positives")).otherwise(0.0)
+    return curve.groupBy(*group).agg(F.sum(step * F.col("precision")).alias("average_precision"))
 
 
 def roc_auc(curve: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """(group, roc_auc): trapezoids between distinct scores, which is the rank sum with ties at their mean; null with one class."""
-    w = Window.partitionBy(*group).orderBy(F.desc("threshold"))
-    negatives = F.col("rows") - F.col("positives")
-    area = (F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(w), F.lit(0))) / 2
-    out = curve.withColumns({"area": area, "cells": F.col("positives") * negatives})
-    return out.groupBy(*group).agg((F.sum("area") / F.nullif(F.max("cells"), F.lit(0))).alias("roc_auc"))
+    area = (F.col("n") - F.col("p")) * (2 * F.col("tp") - F.col("p")) / 2
+    cells = F.max(F.col("positives") * (F.col("rows") - F.col("positives")))
+    return curve.groupBy(*group).agg((F.sum(area) / F.nullif(cells, F.lit(0))).alias("roc_auc"))
 
 
 def f1_points(curve: DataFrame, group: tuple[str, ...] = (), align: str = "correct") -> DataFrame:
     """The curve with f1. align="shifted" gives each threshold the F1 of the next higher one, as some published code does."""
-    p, r = F.col("precision"), F.col("recall")
-    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    out = curve.withColumn("f1", f1)
-    if align == "shifted":
-        w = Window.partitionBy(*group).orderBy("threshold")
-        out = out.withColumn("f1", F.coalesce(F.lead("f1").over(w), F.lit(0.0)))
-    elif align != "correct":
+    if align not in ("correct", "shifted"):
         raise ValueError(f"unknown alignment {align!r}")
-    return out
+    tp, seen = F.col("tp"), F.col("tp") + F.col("fp")
+    if align == "shifted":
+        # at the next higher threshold the score's own rows are missing
+        tp, seen = tp - F.col("p"), seen - F.col("n")
+    precision, recall = tp / F.nullif(seen, F.lit(0)), tp / F.nullif(F.col("positives"), F.lit(0))
+    f1 = F.when(tp > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    return curve.withColumn("f1", f1)
 
 
 def best_threshold(scored: DataFrame, group: tuple[str, ...] = (), align: str = "correct", label: str = "label", score: str = "score") -> DataFrame:
     """(group, threshold, f1, precision, recall): the least threshold of greatest F1."""
     points = f1_points(pr_curve(scored, group, label, score), group, align).withColumn("f1", F.round("f1", 9))
-    w = Window.partitionBy(*group).orderBy(F.desc("f1"), F.asc("threshold"))
-    return points.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*group, "threshold", "f1", "precision", "recall")
+    best = F.max_by(F.struct("threshold", "f1", "precision", "recall"), F.struct("f1", -F.col("threshold")))
+    out = points.groupBy(*group).agg(best.alias("_b"))
+    return out.filter("_b is not null").select(*group, "_b.threshold", "_b.f1", "_b.precision", "_b.recall")
 
 
 def fold_report(scored: DataFrame, group: tuple[str, ...] = ("fold",)) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.functions.text import char_ngrams, jaccard, normalize_text, strip_accents, token_cosine, tokenize_words, vector_tokens, word_ngrams
+from tessera.functions.text import char_ngrams, jaccard, normalize_text, strip_accents, tokenize_words, vector_tokens, word_ngrams
+from tessera.operators.components import checkpointed
 from tessera.operators.tfidf import idf
 
 FEATURES = ("edit_ratio", "jaro_winkler", "lcs_ratio", "token_jaccard", "token_cosine", "tfidf_word_cosine", "tfidf_char_cosine", "dmetaphone_match")
@@ -20,7 +21,7 @@ def normalized_pairs(pairs: DataFrame) -> DataFrame:
 def token_features(pairs: DataFrame) -> DataFrame:
     """Adds token_jaccard and token_cosine to normalised pairs."""
     a, b = tokenize_words(F.col("src_norm")), tokenize_words(F.col("cand_norm"))
-    return pairs.withColumns({"token_jaccard": jaccard(a, b), "token_cosine": token_cosine(a, b)})
+    return pairs.withColumns({"token_jaccard": jaccard(a, b), "token_cosine": kernels.token_cosine("src_norm", "cand_norm")})
 
 
 def string_features(pairs: DataFrame) -> DataFrame:
@@ -45,28 +46,41 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def _key(c: str) -> Column:
+    """A short name of a text, for joins."""
+    return F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")))
+
+
 def tfidf_cosine(pairs: DataFrame, terms, sublinear: bool, name: str) -> DataFrame:
-    """(src_text, cand_text, name) of the distinct text pairs: TF-IDF cosine, fitted on both sides of all pairs.
+    """(src_key, cand_key, name) of the distinct text pairs: TF-IDF cosine, fitted on both sides of all pairs; the keys are md5 of the texts.
 
     A text counts as often as it stands in a pair, but is split, counted and
-    weighed only once.
+    weighed only once, and joined by its key. The pairs are read several times:
+    hand over a table or a checkpoint.
     """
     sides = pairs.select(F.col("src_text").alias("t")).unionAll(pairs.select(F.col("cand_text"))).select(F.coalesce("t", F.lit("")).alias("t"))
-    texts = sides.groupBy("t").agg(F.count("*").alias("mult"))
-    counts = texts.select("t", "mult", F.explode(terms(F.col("t"))).alias("term")).groupBy("t", "mult", "term").agg(F.count("*").alias("tf"))
+    texts = sides.groupBy(F.md5("t").alias("key")).agg(F.first("t").alias("t"), F.count("*").alias("mult"))
+    counts = texts.select("key", "mult", F.explode(terms(F.col("t"))).alias("term")).groupBy("key", "mult", "term").agg(F.count("*").alias("tf"))
+    counts = checkpointed(counts)
     n = F.lit(2 * pairs.count())
     weights = counts.groupBy("term").agg(F.sum("mult").alias("df")).select("term", idf(F.col("df"), n).alias("idf"))
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    vectors = counts.join(weights, "term").select("t", "term", (tf * F.col("idf")).alias("x"))
-    norms = vectors.groupBy("t").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    asked = pairs.select(F.coalesce("src_text", F.lit("")).alias("src_text"), F.coalesce("cand_text", F.lit("")).alias("cand_text")).distinct()
-    a = vectors.select(F.col("t").alias("src_text"), "term", F.col("x").alias("xa"))
-    b = vectors.select(F.col("t").alias("cand_text"), "term", F.col("x").alias("xb"))
-    dots = asked.join(a, "src_text").join(b, ["cand_text", "term"]).groupBy("src_text", "cand_text").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
-    na = norms.select(F.col("t").alias("src_text"), F.col("norm").alias("na"))
-    nb = norms.select(F.col("t").alias("cand_text"), F.col("norm").alias("nb"))
-    full = asked.join(dots, ["src_text", "cand_text"], "left").join(na, "src_text", "left").join(nb, "cand_text", "left")
-    return full.select("src_text", "cand_text", F.coalesce(F.col("dot") / (F.col("na") * F.col("nb")), F.lit(0.0)).alias(name))
+    vectors = checkpointed(counts.join(weights, "term").select("key", "term", (tf * F.col("idf")).alias("x")))
+    norms = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    asked = pairs.select(_key("src_text").alias("src_key"), _key("cand_text").alias("cand_key")).distinct()
+    a = vectors.select(F.col("key").alias("src_key"), "term", F.col("x").alias("xa"))
+    b = vectors.select(F.col("key").alias("cand_key"), "term", F.col("x").alias("xb"))
+    dots = asked.join(a, "src_key").join(b, ["cand_key", "term"]).groupBy("src_key", "cand_key").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
+    na = norms.select(F.col("key").alias("src_key"), F.col("norm").alias("na"))
+    nb = norms.select(F.col("key").alias("cand_key"), F.col("norm").alias("nb"))
+    full = asked.join(dots, ["src_key", "cand_key"], "left").join(na, "src_key", "left").join(nb, "cand_key", "left")
+    return full.select("src_key", "cand_key", F.coalesce(F.col("dot") / (F.col("na") * F.col("nb")), F.lit(0.0)).alias(name))
+
+
+def with_cosine(pairs: DataFrame, cosines: DataFrame) -> DataFrame:
+    """pairs with the cosine of their texts."""
+    keyed = pairs.withColumns({"src_key": _key("src_text"), "cand_key": _key("cand_text")})
+    return keyed.join(cosines, ["src_key", "cand_key"]).drop("src_key", "cand_key")
 
 
 def word_terms(c: Column) -> Column:
@@ -82,12 +96,11 @@ def tfidf_char(pairs: DataFrame) -> DataFrame:
 
 
 def feature_table(pairs: DataFrame, keep_original_cols: bool = True) -> DataFrame:
-    """The pairs with all eight features, or the features alone."""
-    filled = pairs.withColumns({t: F.coalesce(F.col(t).cast("string"), F.lit("")) for t in ("src_text", "cand_text")})
+    """The pairs with all eight features, or the features alone, in the pairs' own rows. The pairs are written once."""
+    filled = checkpointed(pairs.withColumns({t: F.coalesce(F.col(t).cast("string"), F.lit("")) for t in ("src_text", "cand_text")}))
     local = string_features(token_features(normalized_pairs(filled))).drop("src_norm", "cand_norm")
-    both = ["src_text", "cand_text"]
-    out = local.join(tfidf_word(filled), both).join(tfidf_char(filled), both)
+    out = with_cosine(with_cosine(local, tfidf_word(filled)), tfidf_char(filled))
     return out.select(*(pairs.columns if keep_original_cols else ()), *FEATURES)
 
 
-__all__ = ["FEATURES", "feature_table", "levenshtein_ratio", "strip_accents", "string_features", "tfidf_char", "tfidf_word", "token_features"]
+__all__ = ["FEATURES", "feature_table", "levenshtein_ratio", "strip_accents", "string_features", "tfidf_char", "tfidf_word", "token_features", "with_cosine"]

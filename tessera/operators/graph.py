@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
+from tessera.operators.ranks import with_position
 
 
 def match_graph(predictions: DataFrame, keep_threshold: float = 0.7, score: str = "prob_match") -> DataFrame:
@@ -141,7 +142,9 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def draw_nodes(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, degree, size, color): plot-ready vertices; color counts the communities in their order."""
-    return degrees(edges).join(parts, "id").select("id", "degree", (200 * (1 + F.log1p("degree"))).alias("size"), (F.dense_rank().over(Window.orderBy("community")) - 1).alias("color"))
+    colors = with_position(parts.select("community").distinct(), "community", name="color")
+    joined = degrees(edges).join(parts, "id").join(colors, "community")
+    return joined.select("id", "degree", (200 * (1 + F.log1p("degree"))).alias("size"), F.col("color").cast("int").alias("color"))
 
 
 def draw_edges(edges: DataFrame) -> DataFrame:

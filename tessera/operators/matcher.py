@@ -6,23 +6,27 @@ import importlib.util
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.trees import Boosting, Forest, GrownForest, Trees
 from tessera.operators.components import checkpointed
 from tessera.operators.evaluation import best_threshold, class_weights, fold_report, scaled, scaler, stratified_folds
 
 
 def make_model(kind: str = "logreg", total_weight: float = 1.0, **options):
-    """An estimator by name: logreg, rf or xgb (gradient boosting; xgboost itself where it is installed and asked for)."""
+    """An estimator by name: logreg, rf or xgb (gradient boosting as xgboost does it; xgboost itself where it is installed and asked for).
+
+    Fixed values: the models' settings.
+    """
     common = {"featuresCol": "_x", "labelCol": "label", "weightCol": "_w"}
     if kind == "logreg":
         return LogisticRegression(**common, maxIter=2000, standardization=False, regParam=1.0 / max(total_weight, 1e-9), elasticNetParam=0.0)
     if kind == "rf":
-        return RandomForestClassifier(**common, **({"numTrees": 400, "maxDepth": 30, "seed": 42} | options))
+        return Forest(**options)
     if kind == "xgb":
         if options.pop("native", False):
             if importlib.util.find_spec("xgboost") is None:
@@ -30,7 +34,7 @@ def make_model(kind: str = "logreg", total_weight: float = 1.0, **options):
             from xgboost.spark import SparkXGBClassifier
 
             return SparkXGBClassifier(features_col="_x", label_col="label", weight_col="_w", n_estimators=600, max_depth=6, learning_rate=0.05, subsample=0.9, colsample_bytree=0.9, reg_lambda=1.0)
-        return GBTClassifier(**common, **({"maxIter": 600, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "seed": 42} | options))
+        return Boosting(**options)
     raise ValueError(f"unknown model {kind!r}; choose logreg, rf or xgb")
 
 
@@ -59,6 +63,8 @@ def _vector(rows: DataFrame, scaling: dict[str, tuple[float, float]], features:
 
 
 def _score(model, rows: DataFrame, scaling: dict, features: tuple[str, ...], name: str) -> DataFrame:
+    if isinstance(model, (Trees, GrownForest)):  # trees need no scaling
+        return rows.withColumn(name, model.score(features))
     out = model.transform(_vector(rows, scaling, features))
     return out.withColumn(name, vector_to_array("probability")[1]).select(*rows.columns, name)
 
@@ -66,6 +72,8 @@ def _score(model, rows: DataFrame, scaling: dict, features: tuple[str, ...], nam
 def _fit(rows: DataFrame, features: tuple[str, ...], kind: str, options: dict):
     scaling = scaler(rows, features)
     weights = class_weights(rows).select(F.col("label").alias("_l"), F.col("weight").alias("_w"))
+    if isinstance(model := make_model(kind, **options), (Boosting, Forest)):
+        return model.fit(rows.join(F.broadcast(weights), F.col("label") == F.col("_l")), features, "_w"), scaling
     train = _vector(rows, scaling, features).join(F.broadcast(weights), F.col("label") == F.col("_l")).drop("_l")
     total = rows.count()  # balanced weights sum to the number of rows
     return make_model(kind, float(total), **options).fit(train), scaling

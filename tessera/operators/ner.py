@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import with_position
+
 ENTITY = "struct<text: string, label: string, start: int, end: int, confidence: double>"
 RESULT = f"entities array<{ENTITY}>, total_entities int, error string"
 
 
 @dataclass
 class NerConfig:
-    """What a run may set; batch_size only sets how many records a worker gets at a time."""
+    """What a run may set; batch_size sets how many records an extractor gets at a time."""
 
     entity_types: tuple[str, ...] | None = None
     min_confidence: float = 0.0
@@ -27,8 +29,8 @@ class NerConfig:
 
 
 #: Words that name kinds of organisations, and countries and cities of the rule extractor.
-ORG_WORDS = ("University", "Institute", "College", "Laboratory", "Laboratories", "Lab", "Labs", "Center", "Centre", "Department", "School", "Faculty", "Hospital", "Research", "Inc", "Corp", "Ltd", "GmbH", "Foundation", "License")
-PLACES = ("USA", "Germany", "France", "Spain", "Italy", "Canada", "China", "Japan", "India", "Brazil", "London", "Paris", "Berlin", "Madrid", "Rome", "Montreal", "Zurich", "Boston", "San Jose", "New York", "ASIA", "AFRICA", "EUROPE", "AMERICA", "MIDDLE EAST")
+ORG_WORDS = ("University", "Institute", "College", "Laboratory", "Laboratories", "Lab", "Labs", "Center", "Centre", "Department", "School", "Faculty", "Hospital", "Research", "Inc", "Corp", "Ltd", "GmbH", "Foundation", "Academy", "Association", "Agency", "Bank", "Company", "Ministry", "Museum", "Society", "Trust")
+PLACES = ("USA", "Germany", "France", "Spain", "Italy", "Canada", "China", "Japan", "India", "Brazil", "London", "Paris", "Berlin", "Madrid", "Rome", "Montreal", "Zurich", "Boston", "San Jose", "New York", "Argentina", "Australia", "Austria", "Belgium", "Chile", "Denmark", "Egypt", "Finland", "Greece", "Ireland", "Israel", "Mexico", "Netherlands", "Norway", "Poland", "Portugal", "Russia", "Singapore", "South Africa", "Sweden", "Switzerland", "Turkey", "UK", "United Kingdom", "United States", "Amsterdam", "Beijing", "Chicago", "Dublin", "Lisbon", "Moscow", "Oslo", "San Francisco", "Seoul", "Stockholm", "Tokyo", "Toronto", "Vienna", "Warsaw")
 _CAP = r"[A-Z][A-Za-z&.-]*"
 _ORG = re.compile(rf"(?:{_CAP} )*(?:{'|'.join(ORG_WORDS)})\b(?: of(?: {_CAP})+)?")
 _GPE = re.compile(rf"\b(?:{'|'.join(PLACES)})\b")
@@ -80,12 +82,18 @@ def extract_entities(records: DataFrame, text_col: str = "affil1", config: NerCo
 
     Blank texts have no entities. The second extractor runs only where the
     first found none of the wanted types; models load once per worker and only
-    when needed. A record whose extraction fails has no entities and its error.
+    when needed. A model that can't be loaded fails the call, before any record
+    is read; a record whose extraction fails has no entities and its error.
     """
     config = config or NerConfig()
     for kind in (config.model_type, config.backoff):
         if kind is not None and kind not in EXTRACTORS:
             raise ValueError(f"unknown model type {kind!r}; choose from {', '.join(EXTRACTORS)}")
+    if config.batch_size < 1:
+        raise ValueError("batch_size must be 1 or more")
+    for kind in (config.model_type, config.backoff):
+        if kind is not None:
+            EXTRACTORS[kind](**config.options.get(kind, {}))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields) + ", " + RESULT
 
     def wanted(found: list[tuple]) -> list[tuple]:
@@ -94,24 +102,28 @@ def extract_entities(records: DataFrame, text_col: str = "affil1", config: NerCo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded: dict[str, Callable] = {}
 
-        def by(kind: str, text: str) -> list[tuple]:
+        def load(kind: str) -> None:
             if kind not in loaded:
                 loaded[kind] = EXTRACTORS[kind](**config.options.get(kind, {}))
+
+        def by(kind: str, text: str) -> list[tuple]:
             return wanted(loaded[kind](text))
 
         def one(text) -> tuple[list[dict], str | None]:
             text = "" if text is None else str(text)
             if not text.strip():
                 return [], None
+            load(config.model_type)
             try:
                 found = by(config.model_type, text)
                 if not found and config.backoff:
+                    load(config.backoff)
                     found = by(config.backoff, text)
             except Exception as e:  # the record keeps its error, the others go on
                 return [], f"{type(e).__name__}: {e}"
             return [dict(zip(("text", "label", "start", "end", "confidence"), e, strict=True)) for e in found], None
 
-        for batch in batches:
+        for batch in (b.iloc[i : i + config.batch_size] for b in batches for i in range(0, len(b), config.batch_size)):
             got = [one(t) for t in batch[text_col]]
             yield batch.assign(entities=[g[0] for g in got], total_entities=pd.Series([len(g[0]) for g in got], index=batch.index, dtype="int32"), error=[g[1] for g in got])
 
@@ -146,6 +158,15 @@ def token_table(extracted: DataFrame, id_col: str = "id1") -> DataFrame:
     return extracted.select(id_col, tokens_labeled(F.col("entities")).alias("affil_tokens_labeled"), tokens_plain(F.col("entities")).alias("affil_tokens"), "total_entities")
 
 
-def merge_tokens(records: DataFrame, tokens: DataFrame, id_col: str = "id1") -> DataFrame:
-    """The records with their token strings; null where a record has none."""
-    return records.join(tokens, id_col, "left")
+def merge_tokens(records: DataFrame, tokens: DataFrame, id_col: str = "id1", order: tuple[str, str] | None = None) -> DataFrame:
+    """The records with their token strings; null where a record has none.
+
+    By id if both have it; else by position: the first record gets the first
+    row of tokens, in the orders of the two given columns.
+    """
+    if id_col in records.columns and id_col in tokens.columns:
+        return records.join(tokens, id_col, "left")
+    if order is None:
+        raise ValueError(f"{id_col} is not in both tables: name a column of each to count by")
+    a, b = with_position(records, order[0], name="_at"), with_position(tokens, order[1], name="_at")
+    return a.join(b, "_at", "left").drop("_at")

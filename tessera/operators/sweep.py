@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import find_acronyms, sweep_tokens, vector_tokens, word_ngrams
-from tessera.operators.blocking import both_ways, cosine_pairs, top_k
+from tessera.operators.blocking import neighbours
 from tessera.operators.tfidf import term_counts, unit_vectors, vocabulary
 
 KS = (5, 10, 20, 30, 40, 50, 75, 100)
@@ -40,7 +40,7 @@ def k_sweep(records: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     ks = tuple(k for k in ks if k < n)
     vocab = sweep_vocabulary(records)
     counts = term_counts(records, word_ngrams(vector_tokens(F.col("affil1"))))
-    near = top_k(both_ways(cosine_pairs(unit_vectors(counts, vocab))), max(ks))
+    near = neighbours(unit_vectors(counts, vocab), max(ks))
     tokens = important_tokens(records, vocab, auto_stopwords(vocab, n)).groupBy("id").agg(F.collect_set("term").alias("terms"))
     a, b = tokens.select(F.col("id").alias("src_id"), F.col("terms").alias("ta")), tokens.select(F.col("id").alias("cand_id"), F.col("terms").alias("tb"))
     none = F.array().cast("array<string>")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-M = "m AS (SELECT doc_id AS id1, substring(coalesce(text, ''), 1, 80) AS affil1 FROM documents)"
+#: Whole documents, and whole turns of conversations.
+M = "m AS (SELECT doc_id AS id1, coalesce(text, '') AS affil1 FROM documents)"
+TURNS = "m AS (SELECT CAST(conv_id * 10000 + turn AS BIGINT) AS id1, coalesce(text, '') AS affil1 FROM conversations)"
 
 
 def with_m(select: str) -> str:
     return f"WITH {M} {select}"
 
 
+def with_turns(select: str) -> str:
+    return f"WITH {TURNS} {select}"
+
+
 def norm(c: str) -> str:
     ascii_ = f"regexp_replace(strip_accents(lower(coalesce({c}, ''))), '[^\\x00-\\x7F]', '', 'g')"
     return f"trim(regexp_replace(regexp_replace({ascii_}, '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -43,7 +49,7 @@ def acronyms(c: str) -> str:
 
 
 def vectors(select: str, min_df: int = 2, max_df: float = 0.9, more: str = "") -> str:
-    return f"""WITH RECURSIVE {M}, c AS (SELECT id, term, count(*) AS tf FROM (SELECT id1 AS id, unnest({grams('affil1')}) AS term FROM m) GROUP BY id, term),
+    return f"""WITH RECURSIVE {TURNS}, c AS (SELECT id, term, count(*) AS tf FROM (SELECT id1 AS id, unnest({grams('affil1')}) AS term FROM m) GROUP BY id, term),
 n AS (SELECT count(*) AS n FROM m),
 v AS (SELECT term, count(*) AS df, ln(CAST(1 + n AS DOUBLE) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY term, n HAVING count(*) >= {min_df} AND count(*) <= {max_df} * n),
 x AS (SELECT id, c.term AS term, (1 + ln(tf)) * idf AS x FROM c JOIN v ON c.term = v.term),
@@ -66,19 +72,18 @@ def knn(k: int, select: str, more: str = "") -> str:
 
 
 def blocks(select: str) -> str:
-    return f"""WITH {M}, t AS (SELECT DISTINCT id1 AS id, unnest({words('affil1')}) AS block_key FROM m),
-b AS (SELECT block_key, id FROM t QUALIFY count(*) OVER (PARTITION BY block_key) BETWEEN 2 AND 100),
+    return f"""WITH {TURNS}, t AS (SELECT DISTINCT id1 AS id, unnest({words('affil1')}) AS block_key FROM m),
+b AS (SELECT block_key, id FROM t QUALIFY count(*) OVER (PARTITION BY block_key) BETWEEN 2 AND 5000),
 p AS (SELECT x.id AS id_left, y.id AS id_right, count(*) AS n_shared FROM b x JOIN b y ON x.block_key = y.block_key AND x.id < y.id GROUP BY 1, 2)
 {select}"""
 
 
 def pairs(select: str) -> str:
-    k = 1 if select is LCS else 3
     more = f""",
 pr AS (SELECT src_id, cand_id, s.affil1 AS src_text, c.affil1 AS cand_text FROM k LEFT JOIN m s ON s.id1 = src_id LEFT JOIN m c ON c.id1 = cand_id),
 normed AS (SELECT src_id, cand_id, {norm('src_text')} AS na, {norm('cand_text')} AS nb FROM pr),
 tokens AS (SELECT src_id, cand_id, {words('src_text')} AS a, {words('cand_text')} AS b FROM pr)"""
-    return knn(k, select, more)
+    return knn(20, select, more)
 
 
 def jaccard(a: str, b: str) -> str:
@@ -93,16 +98,6 @@ def token_cosine(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE {dot(a, b, f'list_distinct(list_intersect({a}, {b}))')} / sqrt({dot(a, a, f'list_distinct({a})')} * {dot(b, b, f'list_distinct({b})')}) END"
 
 
-#: Longest common subsequence, bit-parallel: one bit per character of nb in a 128-bit number, one step per character of na.
-LCS = """, steps AS (
-  SELECT src_id, cand_id, na, nb, 0 AS i, (CAST(1 AS HUGEINT) << len(nb)) - 1 AS r FROM normed
-  UNION ALL
-  SELECT src_id, cand_id, na, nb, i + 1, ((r + (r & hit)) | (r - (r & hit))) & ((CAST(1 AS HUGEINT) << len(nb)) - 1)
-  FROM (SELECT *, CAST(coalesce(list_sum(list_transform(range(1, len(nb) + 1), lambda j: CASE WHEN nb[j] = na[i + 1] THEN CAST(1 AS HUGEINT) << CAST(j - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END)), 0) AS HUGEINT) AS hit FROM steps WHERE i < len(na))),
-last AS (SELECT src_id, cand_id, len(na) AS la, len(nb) AS lb, CAST(len(nb) - bit_count(r) AS DOUBLE) AS lcs FROM steps WHERE i = len(na))
-SELECT src_id, cand_id, round(CASE WHEN la = 0 AND lb = 0 THEN 1.0 ELSE lcs / greatest(la, lb) END, 6) AS lcs_ratio, round(CASE WHEN la = 0 AND lb = 0 THEN 1.0 ELSE 2 * lcs / (la + lb) END, 6) AS edit_ratio FROM last"""
-
-
 def pair_tfidf(terms: str, tf: str, name: str) -> str:
     more = f""",
 pr AS (SELECT src_id, cand_id, s.affil1 AS src_text, c.affil1 AS cand_text FROM k LEFT JOIN m s ON s.id1 = src_id LEFT JOIN m c ON c.id1 = cand_id),
@@ -112,39 +107,37 @@ t2 AS (SELECT term, ln(CAST(1 + (SELECT 2 * count(*) FROM pr) AS DOUBLE) / (1 +
 t3 AS (SELECT t, t1.term AS term, ({tf}) * idf AS x FROM t1 JOIN t2 ON t1.term = t2.term),
 t4 AS (SELECT t, sqrt(sum(x * x)) AS norm FROM t3 GROUP BY t),
 t5 AS (SELECT src_text, cand_text, sum(a.x * b.x) AS dot FROM (SELECT DISTINCT src_text, cand_text FROM pr) q JOIN t3 a ON a.t = src_text JOIN t3 b ON b.t = cand_text AND a.term = b.term GROUP BY 1, 2)"""
-    return knn(3, f"SELECT src_id, cand_id, round(coalesce(dot / (a.norm * b.norm), 0.0), 6) AS {name} FROM pr LEFT JOIN t5 ON pr.src_text = t5.src_text AND pr.cand_text = t5.cand_text LEFT JOIN t4 a ON a.t = pr.src_text LEFT JOIN t4 b ON b.t = pr.cand_text", more)
+    return knn(20, f"SELECT src_id, cand_id, round(coalesce(dot / (a.norm * b.norm), 0.0), 6) AS {name} FROM pr LEFT JOIN t5 ON pr.src_text = t5.src_text AND pr.cand_text = t5.cand_text LEFT JOIN t4 a ON a.t = pr.src_text LEFT JOIN t4 b ON b.t = pr.cand_text", more)
 
 
 def labeled(select: str) -> str:
     more = """,
-h AS (SELECT doc_id AS id, substring(text, 1, 60) AS head FROM documents),
-h2 AS (SELECT * FROM h QUALIFY count(*) OVER (PARTITION BY head) BETWEEN 2 AND 20),
-gold AS (SELECT a.id AS src, b.id AS cand FROM h2 a JOIN h2 b ON a.head = b.head AND a.id < b.id),
+gold AS (SELECT a.id1 AS src, b.id1 AS cand FROM m a JOIN m b ON a.id1 // 10000 = b.id1 // 10000 AND a.id1 < b.id1),
 l AS (SELECT src_id, cand_id, round(cosine_sim, 3) AS score, CASE WHEN g.src IS NULL THEN 0 ELSE 1 END AS label FROM k LEFT JOIN gold g ON g.src = least(src_id, cand_id) AND g.cand = greatest(src_id, cand_id)),
 f AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', src_id, cand_id, 42)), src_id, cand_id) - 1) % 5 AS INTEGER) AS fold FROM l),
 z0 AS (SELECT score AS threshold, sum(label) AS p, count(*) AS n FROM l GROUP BY score),
 pc AS (SELECT threshold, sum(p) OVER w AS tp, sum(n) OVER w - sum(p) OVER w AS fp, CAST(sum(p) OVER w AS DOUBLE) / sum(n) OVER w AS precision, CAST(sum(p) OVER w AS DOUBLE) / sum(p) OVER () AS recall FROM z0 WINDOW w AS (ORDER BY threshold DESC)),
 f1 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pc)"""
-    return knn(5, select, more)
+    return knn(20, select, more)
 
 
 FOLD_REPORT = """, d0 AS (SELECT fold, score AS threshold, sum(label) AS p, count(*) AS n FROM f GROUP BY fold, score),
-d1 AS (SELECT fold, threshold, CAST(sum(p) OVER w AS DOUBLE) / sum(n) OVER w AS precision, CAST(sum(p) OVER w AS DOUBLE) / sum(p) OVER (PARTITION BY fold) AS recall FROM d0 WINDOW w AS (PARTITION BY fold ORDER BY threshold DESC)),
-d2 AS (SELECT *, coalesce(lag(recall) OVER (PARTITION BY fold ORDER BY threshold DESC), 0) AS before, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM d1),
-d3 AS (SELECT fold, sum((recall - before) * precision) AS pr_auc FROM d2 GROUP BY fold),
-d4 AS (SELECT fold, threshold, f1 FROM d2 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(f1, 9) DESC, threshold) = 1),
+d1 AS (SELECT fold, threshold, p, n - p AS q, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER (PARTITION BY fold) AS ps, sum(n - p) OVER (PARTITION BY fold) AS qs FROM d0 WINDOW w AS (PARTITION BY fold ORDER BY threshold DESC)),
+d2 AS (SELECT *, CAST(tp AS DOUBLE) / seen AS precision, CAST(tp AS DOUBLE) / ps AS recall, CASE WHEN tp > 0 THEN 2.0 * tp / (seen + ps) ELSE 0.0 END AS f1 FROM d1),
+d3 AS (SELECT fold, sum(CAST(p AS DOUBLE) / ps * precision) AS pr_auc, sum(q * (2 * tp - p) / 2.0) / (max(ps) * max(qs)) AS roc_auc FROM d2 GROUP BY fold),
+d4 AS (SELECT fold, threshold, f1, precision, recall FROM d2 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(f1, 9) DESC, threshold) = 1),
 d5 AS (SELECT fold, count(*) AS n, avg(label) AS rate FROM f GROUP BY fold)
-SELECT d5.fold AS fold, n, round(rate, 6) AS positive_rate, round(pr_auc, 6) AS pr_auc, threshold, round(f1, 6) AS f1 FROM d5 JOIN d3 ON d5.fold = d3.fold JOIN d4 ON d5.fold = d4.fold"""
+SELECT d5.fold AS fold, n, round(rate, 6) AS positive_rate, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, threshold, round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall FROM d5 JOIN d3 ON d5.fold = d3.fold JOIN d4 ON d5.fold = d4.fold"""
 
 
 def graph(select: str) -> str:
     more = """,
-e AS (SELECT least(src_id, cand_id) AS u, greatest(src_id, cand_id) AS v, max(cosine_sim) AS weight FROM k WHERE cosine_sim >= 0.7 AND src_id <> cand_id GROUP BY 1, 2),
+e AS (SELECT least(src_id, cand_id) AS u, greatest(src_id, cand_id) AS v, max(cosine_sim) AS weight FROM k WHERE cosine_sim >= 0.2 AND src_id <> cand_id GROUP BY 1, 2),
 s AS (SELECT u AS id, v AS other FROM e UNION ALL SELECT v, u FROM e),
 g AS (SELECT id, count(*) AS degree FROM s GROUP BY id),
 r AS (SELECT id, id AS o FROM g UNION SELECT s.other, r.o FROM r JOIN s ON s.id = r.id),
 cc AS (SELECT id, min(o) AS component FROM r GROUP BY id)"""
-    return knn(5, select, more)
+    return knn(20, select, more)
 
 
 SAMPLE = """SELECT id FROM (SELECT id, min(seed_rank) AS seed_rank, min(seed_rank * 2 + far) % 2 AS far FROM (
@@ -170,7 +163,10 @@ ks AS (SELECT CAST(unnest([5, 10, 20, 30, 40, 50, 75, 100]) AS INTEGER) AS kk)
 SELECT kk AS k, round(CAST(sum(hit) AS DOUBLE) / (n * kk), 6) AS overlap_purity, round(sum(jac) / (n * kk), 6) AS jaccard_purity, round(sum(cosine_sim) / (n * kk), 6) AS avg_cosine, round(1 - CAST(n * kk AS DOUBLE) / (n * (n - 1)), 6) AS reduction_ratio
 FROM ks JOIN q ON q.rank <= kk, n WHERE kk < n GROUP BY kk, n"""
 
-_ENTITIES = "WITH m AS (SELECT doc_id AS id1, substring(coalesce(text, ''), 1, 400) AS affil1 FROM documents), x AS (SELECT id1, affil1, regexp_extract_all(affil1, '\\b[A-Z]{2,}\\b') AS e FROM m), o AS (SELECT id1, affil1, e, list_filter(e, lambda t, i: list_position(list_transform(e, lambda q: lower(q)), lower(t)) = i) AS once FROM x) "
+_ENTITIES = "WITH m AS (SELECT doc_id AS id1, coalesce(text, '') AS affil1 FROM documents), x AS (SELECT id1, affil1, regexp_extract_all(affil1, '\\b[A-Z]{2,}\\b') AS e FROM m), o AS (SELECT id1, affil1, e, list_filter(e, lambda t, i: list_position(list_transform(e, lambda q: lower(q)), lower(t)) = i) AS once FROM x) "
 TOKENS_LABELED = _ENTITIES + "SELECT id1, coalesce(array_to_string(list_transform(once, lambda t: t || '<ORG>'), '; '), '') AS affil_tokens_labeled, CAST(len(e) AS INTEGER) AS total_entities FROM o"
 TOKENS_PLAIN = _ENTITIES + "SELECT id1, coalesce(array_to_string(once, '; '), '') AS affil_tokens FROM o"
 TOKENS_MERGED = _ENTITIES + "SELECT id1, affil1, CASE WHEN len(e) > 0 THEN array_to_string(list_transform(once, lambda t: t || '<ORG>'), '; ') END AS affil_tokens_labeled, CASE WHEN len(e) > 0 THEN array_to_string(once, '; ') END AS affil_tokens, CAST(coalesce(len(e), 0) AS INTEGER) AS total_entities FROM o"
+
+GEXF = """SELECT 1 AS part, row_number() OVER (ORDER BY id) - 1 AS at, '<node id="' || id || '" label="' || id || '"><attvalues><attvalue for="0" value="' || degree || '"/></attvalues></node>' AS line FROM g
+UNION ALL SELECT 3, row_number() OVER (ORDER BY u, v) - 1, '<edge id="' || (row_number() OVER (ORDER BY u, v) - 1) || '" source="' || u || '" target="' || v || '" weight="' || CAST(round(weight * 1000000) AS BIGINT) || '"/>' FROM e"""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import blocking, evaluation, features, graph, labeling, matcher, ner, sweep, tfidf
-from tessera.operators.components import checkpointed
+from tessera.operators.components import checkpointed, shared_folder
 from tessera.plans import oracles as O
-from tessera.sources.records import as_records, mentions, profile, table
+from tessera.sources import records as R
+from tessera.sources.records import as_records, mentions, profile, table, turns
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,19 +86,19 @@ def sweep_tokens(spark, sf_dir):
     return mentions(spark, sf_dir).select("id1", joined(T.sweep_tokens(F.col("affil1"))).alias("tokens"))
 
 
-@query(O.with_m(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT id1, unnest({O.grams('affil1')}) AS term FROM m) GROUP BY term"))
+@query(O.with_turns(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT id1, unnest({O.grams('affil1')}) AS term FROM m) GROUP BY term"))
 def word_ngrams_df(spark, sf_dir):
-    return tfidf.document_frequency(tfidf.term_counts(mentions(spark, sf_dir), features.word_terms(F.col("affil1"))))
+    return tfidf.document_frequency(tfidf.term_counts(turns(spark, sf_dir), features.word_terms(F.col("affil1"))))
 
 
-@query(O.with_m(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT id1, unnest({O.char_grams('affil1')}) AS term FROM m) GROUP BY term"))
+@query(O.with_turns(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT id1, unnest({O.char_grams('affil1')}) AS term FROM m) GROUP BY term"))
 def char_ngrams_df(spark, sf_dir):
-    return tfidf.document_frequency(tfidf.term_counts(mentions(spark, sf_dir), T.char_ngrams(F.col("affil1"))))
+    return tfidf.document_frequency(tfidf.term_counts(turns(spark, sf_dir), T.char_ngrams(F.col("affil1"))))
 
 
 @query(O.vectors("SELECT term, df, round(idf, 6) AS idf FROM v"))
 def tfidf_vocab(spark, sf_dir):
-    m = mentions(spark, sf_dir)
+    m = turns(spark, sf_dir)
     return rounded(tfidf.vocabulary(tfidf.term_counts(m, features.word_terms(F.col("affil1"))), F.lit(m.count())))
 
 
@@ -104,28 +107,34 @@ def tfidf_vocab(spark, sf_dir):
 
 @query(O.knn(20, "SELECT src_id, cand_id, cosine_sim, CAST(rank AS INTEGER) AS rank FROM k"))
 def knn_tfidf_top20(spark, sf_dir):
-    return blocking.knn(mentions(spark, sf_dir), 20)
+    return blocking.knn(turns(spark, sf_dir), 20)
 
 
 @query(O.knn(20, "SELECT src_id, cand_id, cosine_sim, CAST(rank AS INTEGER) AS rank FROM u"))
 def knn_undirected(spark, sf_dir):
-    return blocking.collapse(blocking.knn(mentions(spark, sf_dir), 20), 20)
+    return blocking.collapse(blocking.knn(turns(spark, sf_dir), 20), 20)
 
 
 @query(O.knn(20, "SELECT src_id, cand_id, cosine_sim, CAST(rank AS INTEGER) AS rank FROM k WHERE cosine_sim >= 0.5"))
 def knn_min_sim(spark, sf_dir):
-    return blocking.knn(mentions(spark, sf_dir), 20, min_sim=0.5)
+    return blocking.knn(turns(spark, sf_dir), 20, min_sim=0.5)
 
 
-@query(O.knn(5, "SELECT src_id, cand_id, cosine_sim, CAST(rank AS INTEGER) AS rank, s.affil1 AS src_text, c.affil1 AS cand_text FROM k LEFT JOIN m s ON s.id1 = src_id LEFT JOIN m c ON c.id1 = cand_id"))
+@query(O.knn(20, "SELECT src_id, cand_id, cosine_sim, CAST(rank AS INTEGER) AS rank, s.affil1 AS src_text, c.affil1 AS cand_text FROM k LEFT JOIN m s ON s.id1 = src_id LEFT JOIN m c ON c.id1 = cand_id"))
 def knn_enriched(spark, sf_dir):
-    m = mentions(spark, sf_dir)
-    return blocking.enrich(blocking.knn(m, 5), m).select("src_id", "cand_id", "cosine_sim", "rank", "src_text", "cand_text")
+    m = turns(spark, sf_dir)
+    return blocking.enrich(blocking.knn(m, 20), m).select("src_id", "cand_id", "cosine_sim", "rank", "src_text", "cand_text")
 
 
 @query()
 def knn_whole_top20(spark, sf_dir):
-    return blocking.knn(mentions(spark, sf_dir, None), 20)
+    return blocking.knn(mentions(spark, sf_dir), 20)
+
+
+@query()
+def knn_prefix_top20(spark, sf_dir):
+    """The approximate backend: every neighbour with a cosine of 0.05 or more."""
+    return blocking.knn(turns(spark, sf_dir), 20, backend="prefix")
 
 
 @query(
@@ -143,8 +152,8 @@ def knn_embeddings_lsh(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    m = mentions(spark, sf_dir)
-    return blocking.token_blocks(m, T.tokenize_words(T.normalize_text(F.col("affil1"))), 2, 100)
+    m = turns(spark, sf_dir)
+    return blocking.token_blocks(m, T.tokenize_words(T.normalize_text(F.col("affil1"))))
 
 
 @query(O.blocks("SELECT block_key, id FROM b"))
@@ -164,7 +173,7 @@ def block_pairs_overlap2(spark, sf_dir):
 
 def _whole_blocks(spark, sf_dir):
     """Blocks of whole texts with the operator's own bounds."""
-    m = mentions(spark, sf_dir, None)
+    m = mentions(spark, sf_dir)
     return blocking.token_blocks(m, T.tokenize_words(T.normalize_text(F.col("affil1"))))
 
 
@@ -186,9 +195,10 @@ def block_pairs_overlap2_whole(spark, sf_dir):
 # --- pair features
 
 
-def _pairs(spark, sf_dir, k: int = 3):
-    m = mentions(spark, sf_dir)
-    return blocking.enrich(blocking.knn(m, k).drop("rank"), m)
+def _pairs(spark, sf_dir, k: int = 20):
+    """The k nearest turns of each turn, with both texts; written once, as several features read them."""
+    m = turns(spark, sf_dir)
+    return checkpointed(blocking.enrich(blocking.knn(m, k).drop("rank"), m))
 
 
 _KEY = ["src_id", "cand_id"]
@@ -207,18 +217,18 @@ def feat_token_cosine(spark, sf_dir):
 @query(O.pair_tfidf(O.grams("t"), "1 + ln(tf)", "tfidf_word_cosine"))
 def feat_tfidf_word(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    return rounded(p.join(features.tfidf_word(p), ["src_text", "cand_text"]).select(*_KEY, "tfidf_word_cosine"))
+    return rounded(features.with_cosine(p, features.tfidf_word(p)).select(*_KEY, "tfidf_word_cosine"))
 
 
 @query(O.pair_tfidf(O.char_grams("t"), "tf", "tfidf_char_cosine"))
 def feat_tfidf_char(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    return rounded(p.join(features.tfidf_char(p), ["src_text", "cand_text"]).select(*_KEY, "tfidf_char_cosine"))
+    return rounded(features.with_cosine(p, features.tfidf_char(p)).select(*_KEY, "tfidf_char_cosine"))
 
 
-@query(O.pairs(O.LCS))
+@query()
 def feat_lcs_edit(spark, sf_dir):
-    p = features.normalized_pairs(_pairs(spark, sf_dir, 1))
+    p = features.normalized_pairs(_pairs(spark, sf_dir))
     return rounded(features.string_features(p).select(*_KEY, "lcs_ratio", "edit_ratio"))
 
 
@@ -247,11 +257,10 @@ def feature_table(spark, sf_dir):
 
 
 def _gold(spark, sf_dir):
-    """Documents that begin with the same 60 characters, in groups of 2 to 20: a mapping apart from the features."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("head"))
-    small = d.groupBy("head").agg(F.count("*").alias("n")).filter("n between 2 and 20").select("head")
-    kept = d.join(small, "head")
-    return kept.alias("a").join(kept.alias("b"), (F.col("a.head") == F.col("b.head")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("src"), F.col("b.id").alias("cand"))
+    """Pairs of turns of one conversation: a mapping that the texts don't tell. A conversation's turns bound its pairs."""
+    t = turns(spark, sf_dir).select("id1", F.floor(F.col("id1") / 10_000).alias("conv"))
+    a, b = t.alias("a"), t.alias("b")
+    return a.join(b, (F.col("a.conv") == F.col("b.conv")) & (F.col("a.id1") < F.col("b.id1"))).select(F.col("a.id1").alias("src"), F.col("b.id1").alias("cand"))
 
 
 def _copies(spark, sf_dir, pairs: DataFrame) -> DataFrame:
@@ -265,9 +274,13 @@ def _copies(spark, sf_dir, pairs: DataFrame) -> DataFrame:
     return both.withColumn("label", F.coalesce(alike, F.lit(False)).cast("int")).drop("_a", "_b")
 
 
+def _near(spark, sf_dir):
+    return blocking.knn(turns(spark, sf_dir), 20)
+
+
 def _labeled(spark, sf_dir):
     """Labelled pairs with a score that needs no model: the cosine to three digits."""
-    p = blocking.knn(mentions(spark, sf_dir), 5).select("src_id", "cand_id", F.round("cosine_sim", 3).alias("score"))
+    p = _near(spark, sf_dir).select("src_id", "cand_id", F.round("cosine_sim", 3).alias("score"))
     return checkpointed(labeling.label_pairs(p, _gold(spark, sf_dir)))
 
 
@@ -283,18 +296,18 @@ def label_pairs(spark, sf_dir):
 
 @query()
 def label_pairs_whole(spark, sf_dir):
-    p = blocking.knn(mentions(spark, sf_dir, None), 5).select("src_id", "cand_id", F.round("cosine_sim", 3).alias("score"))
+    p = blocking.knn(mentions(spark, sf_dir), 5).select("src_id", "cand_id", F.round("cosine_sim", 3).alias("score"))
     return _copies(spark, sf_dir, p).select("src_id", "cand_id", "score", "label")
 
 
 @query(O.labeled("SELECT src_id, cand_id FROM l WHERE label = 1"))
 def label_positives_semi(spark, sf_dir):
-    return labeling.matching(blocking.knn(mentions(spark, sf_dir), 5).select("src_id", "cand_id"), _gold(spark, sf_dir))
+    return labeling.matching(_near(spark, sf_dir).select("src_id", "cand_id"), _gold(spark, sf_dir))
 
 
 @query(O.labeled("SELECT src_id, cand_id FROM l WHERE label = 0"))
 def label_negatives_anti(spark, sf_dir):
-    return labeling.matching(blocking.knn(mentions(spark, sf_dir), 5).select("src_id", "cand_id"), _gold(spark, sf_dir), "left_anti")
+    return labeling.matching(_near(spark, sf_dir).select("src_id", "cand_id"), _gold(spark, sf_dir), "left_anti")
 
 
 @query(O.labeled("SELECT count(*) AS n_pairs, CAST(sum(label) AS BIGINT) AS n_positive FROM l"))
@@ -346,15 +359,14 @@ def f1_threshold_shifted(spark, sf_dir):
 
 @query(O.labeled(O.FOLD_REPORT))
 def fold_report(spark, sf_dir):
-    return rounded(evaluation.fold_report(evaluation.stratified_folds(_labeled(spark, sf_dir))).select("fold", "n", "positive_rate", "pr_auc", "threshold", "f1"))
-
-
-_MODEL_FEATURES = ("cosine_sim", "token_jaccard", "token_cosine")
+    return rounded(evaluation.fold_report(evaluation.stratified_folds(_labeled(spark, sf_dir))).select("fold", "n", "positive_rate", "roc_auc", "pr_auc", "threshold", "f1", "precision", "recall"))
 
 
 def _train(spark, sf_dir, kind: str, **options):
-    p = features.token_features(features.normalized_pairs(_pairs(spark, sf_dir, 5))).select("src_id", "cand_id", *_MODEL_FEATURES)
-    return matcher.train_matcher(_copies(spark, sf_dir, p), _MODEL_FEATURES, kind, **options)
+    """All eight features of the pairs; label 1 for turns of one conversation."""
+    pairs = features.feature_table(_pairs(spark, sf_dir)).select("src_id", "cand_id", *features.FEATURES)
+    labeled = checkpointed(labeling.label_pairs(pairs, _gold(spark, sf_dir)).select("src_id", "cand_id", *features.FEATURES, "label"))
+    return matcher.train_matcher(labeled, features.FEATURES, kind, **options)
 
 
 def _predictions(spark, sf_dir, kind: str, **options):
@@ -369,12 +381,12 @@ def matcher_logreg(spark, sf_dir):
 
 @query()
 def matcher_rf(spark, sf_dir):
-    return _predictions(spark, sf_dir, "rf", numTrees=20, maxDepth=8)
+    return _predictions(spark, sf_dir, "rf")
 
 
 @query()
 def matcher_gbt(spark, sf_dir):
-    return _predictions(spark, sf_dir, "xgb", maxIter=5)
+    return _predictions(spark, sf_dir, "xgb")
 
 
 @query()
@@ -385,12 +397,13 @@ def oof_predictions(spark, sf_dir):
 # --- graph
 
 
-def _predicted(spark, sf_dir):
-    return blocking.knn(mentions(spark, sf_dir), 5).select("src_id", "cand_id", F.col("cosine_sim").alias("prob_match"))
+#: Cosine from which two turns are an edge: no two of them are copies.
+_EDGE = 0.2
 
 
 def _edges(spark, sf_dir):
-    return checkpointed(graph.match_graph(_predicted(spark, sf_dir)))
+    predicted = _near(spark, sf_dir).select("src_id", "cand_id", F.col("cosine_sim").alias("prob_match"))
+    return checkpointed(graph.match_graph(predicted, _EDGE))
 
 
 @query(O.graph("SELECT u, v, weight FROM e"))
@@ -410,7 +423,7 @@ def connected_components(spark, sf_dir):
 
 @query(O.graph("SELECT id1 AS id, coalesce(component, id1) AS component FROM m LEFT JOIN cc ON id = id1"))
 def components_with_singletons(spark, sf_dir):
-    return graph.components(_edges(spark, sf_dir), mentions(spark, sf_dir).select(F.col("id1").alias("id")))
+    return graph.components(_edges(spark, sf_dir), turns(spark, sf_dir).select(F.col("id1").alias("id")))
 
 
 @query()
@@ -445,27 +458,27 @@ def draw_edge_widths(spark, sf_dir):
 
 @query(O.sweep_sql("SELECT term FROM stop"))
 def stopwords_auto(spark, sf_dir):
-    m = mentions(spark, sf_dir)
+    m = turns(spark, sf_dir)
     return sweep.auto_stopwords(sweep.sweep_vocabulary(m), m.count())
 
 
 @query(O.sweep_sql("SELECT id, term FROM imp"))
 def important_tokens(spark, sf_dir):
-    m = mentions(spark, sf_dir)
+    m = turns(spark, sf_dir)
     vocab = sweep.sweep_vocabulary(m)
     return sweep.important_tokens(m, vocab, sweep.auto_stopwords(vocab, m.count()))
 
 
 @query(O.sweep_sql(O.K_SWEEP))
 def k_sweep(spark, sf_dir):
-    return rounded(sweep.k_sweep(mentions(spark, sf_dir)))
+    return rounded(sweep.k_sweep(turns(spark, sf_dir)))
 
 
 # --- entities
 
 
-def _extracted(spark, sf_dir, config=None, width=None):
-    return ner.extract_entities(mentions(spark, sf_dir, width), config=config)
+def _extracted(spark, sf_dir, config=None):
+    return ner.extract_entities(mentions(spark, sf_dir), config=config)
 
 
 @query()
@@ -491,22 +504,63 @@ def tokens_plain(spark, sf_dir):
 @query(O.TOKENS_MERGED)
 def tokens_merged(spark, sf_dir):
     found = _acronym_entities(spark, sf_dir).filter("total_entities > 0")
-    out = ner.merge_tokens(mentions(spark, sf_dir, 400), ner.token_table(found))
+    out = ner.merge_tokens(mentions(spark, sf_dir), ner.token_table(found))
     return out.select("id1", "affil1", "affil_tokens_labeled", "affil_tokens", F.coalesce(F.col("total_entities").cast("int"), F.lit(0)).alias("total_entities"))
 
 
-@query()
-def tokens_labeled_whole(spark, sf_dir):
-    return _acronym_entities(spark, sf_dir, None).select("id1", ner.tokens_labeled(F.col("entities")).alias("affil_tokens_labeled"), F.col("total_entities").cast("int").alias("total_entities"))
+def _acronym_entities(spark, sf_dir):
+    return _extracted(spark, sf_dir, ner.NerConfig(entity_types=("ORG",), model_type="acronyms"))
 
 
-@query()
-def tokens_plain_whole(spark, sf_dir):
-    return _acronym_entities(spark, sf_dir, None).select("id1", ner.tokens_plain(F.col("entities")).alias("affil_tokens"))
+@query(O.TOKENS_MERGED)
+def tokens_merged_by_position(spark, sf_dir):
+    tokens = ner.token_table(_acronym_entities(spark, sf_dir)).withColumnRenamed("id1", "at")
+    out = ner.merge_tokens(mentions(spark, sf_dir), tokens, order=("id1", "at"))
+    none = F.col("total_entities") == 0
+    return out.select("id1", "affil1", F.when(~none, F.col("affil_tokens_labeled")).alias("affil_tokens_labeled"), F.when(~none, F.col("affil_tokens")).alias("affil_tokens"), F.col("total_entities").cast("int").alias("total_entities"))
+
+
+# --- sources and sinks
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _acronym_entities(spark, sf_dir, width=400):
-    return _extracted(spark, sf_dir, ner.NerConfig(entity_types=("ORG",), model_type="acronyms"), width)
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def csv_round_trip(spark, sf_dir):
+    path = _folder(spark, "csv")
+    R.write_csv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), path)
+    kinds = dict(table(spark, sf_dir, "customer").dtypes)
+    return R.read_csv(spark, path, ", ".join(f"{c} {kinds[c]}" for c in ("c_custkey", "c_name", "c_nationkey")))
+
+
+@query("SELECT doc_id, text FROM documents WHERE text <> ''")
+def csv_of_many_lines(spark, sf_dir):
+    path = _folder(spark, "lines")
+    R.write_csv(table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", "text"), path)
+    return R.read_csv(spark, path, "doc_id long, text string", multi_line=True)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS src, p_name AS cand FROM part")
+def csv_headerless(spark, sf_dir):
+    path = _folder(spark, "gold")
+    table(spark, sf_dir, "part").select("p_partkey", "p_name").write.csv(path)
+    return R.read_headerless_pairs(spark, path)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def csv_first_existing(spark, sf_dir):
+    path = _folder(spark, "nation")
+    R.write_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
+    return R.read_first_existing(spark, [path + "-missing", path])
+
+
+@query(O.graph(O.GEXF))
+def gexf_lines(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    lines = R.gexf_lines(graph.degrees(e), e.withColumn("weight", F.round(F.col("weight") * 1_000_000).cast("long")))
+    return lines.filter("part in (1, 3)").select("part", "at", "line")
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -52,7 +52,7 @@ def test_metaphone(word, code):
 
 def test_jaccard_and_cosine(spark):
     df = spark.createDataFrame([([], []), (["a"], []), (["a", "b"], ["b", "c"]), (["a", "a"], ["a"])], "a array<string>, b array<string>")
-    got = df.select(T.jaccard(F.col("a"), F.col("b")), T.jaccard(F.col("a"), F.col("b"), 0.0), T.token_cosine(F.col("a"), F.col("b"))).collect()
+    got = df.select(T.jaccard(F.col("a"), F.col("b")), T.jaccard(F.col("a"), F.col("b"), 0.0), kernels.token_cosine(F.array_join("a", " "), F.array_join("b", " "))).collect()
     assert [[round(x, 6) for x in r] for r in got] == [[1, 0, 0], [0, 0, 0], [0.333333, 0.333333, 0.5], [1, 1, 1]]
 
 
@@ -66,3 +66,19 @@ def test_ngrams(spark):
 def test_acronyms(spark):
     df = spark.createDataFrame([("IBM and AT&T in 2020, U-S X ibm",)], "t string")
     assert df.select(F.array_sort(T.find_acronyms(F.col("t")))).first()[0] == ["att", "ibm", "us"]
+
+
+def test_normalising_is_exact_for_all_of_unicode(spark):
+    import re
+    import unicodedata
+
+    points = [i for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000 and chr(i).lower() == chr(i)]
+    rows = [(0, "ＩＢＭ １２ ½ ﬁ ㎏ Ünïcode"), *((i, f"a{chr(i)}b") for i in points)]
+    got = {r["i"]: (r["n"], r["s"]) for r in spark.createDataFrame(rows, "i int, t string").select("i", T.normalize_text(F.col("t")).alias("n"), T.strip_accents(F.col("t")).alias("s")).collect()}
+    assert got[0][0] == "ibm 12 12 fi kg unicode"
+    for i in points:
+        t = unicodedata.normalize("NFKD", f"a{chr(i)}b")
+        plain = t.encode("ascii", "ignore").decode()
+        assert got[i][0] == re.sub(r"\s+", " ", re.sub(r"[^A-Za-z0-9_\s]", " ", plain)).strip(), hex(i)
+        if not 0xAC00 <= i < 0xD7A4:
+            assert got[i][1] == "".join(c for c in t if not unicodedata.combining(c)), hex(i)

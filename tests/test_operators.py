@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking, evaluation, features, graph, labeling, matcher, ner
+from tessera.operators import blocking, evaluation, features, graph, labeling, matcher, ner, trees
 from tessera.operators.components import connected_components
+from tessera.operators.ranks import with_position
 from tessera.sources import records as R
 
 SCORES = [(0, 0.10), (1, 0.35), (0, 0.40), (1, 0.80)]
@@ -89,6 +90,117 @@ def test_knn_prefix_and_no_self(spark):
     assert len({frozenset((r["src_id"], r["cand_id"])) for r in one}) == len(one)
 
 
+def brute_neighbours(texts, k):
+    """TF-IDF neighbours one pair at a time."""
+    import math
+    import re
+    from collections import Counter
+
+    words = {i: re.findall(r"\w{2,}", t.lower()) for i, t in texts}
+    terms = {i: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for i, w in words.items()}
+    df, n = Counter(t for c in terms.values() for t in c), len(texts)
+    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items() if 2 <= d <= 0.9 * n}
+    unit = {}
+    for i, c in terms.items():
+        v = {t: (1 + math.log(x)) * idf[t] for t, x in c.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        unit[i] = {t: x / norm for t, x in v.items()}
+    out = {}
+    for i, v in unit.items():
+        sims = sorted((-round(sum(x * w[t] for t, x in v.items() if t in w), 6), j) for j, w in unit.items() if j != i)
+        out[i] = [(j, -s) for s, j in sims if s < 0][:k]
+    return out
+
+
+@pytest.mark.parametrize("rows", [2048, 17])
+def test_neighbours_by_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(blocking.block_count, "__defaults__", (rows,))
+    r = random.Random(4)
+    texts = [(i, " ".join(r.choices([f"w{j}" for j in range(60)], k=r.randint(0, 12)))) for i in range(90)] + [(200 + i, "same text here") for i in range(30)]
+    want = brute_neighbours(texts, 7)
+    m = spark.createDataFrame(texts, "id1 long, affil1 string")
+    for backend, floor in (("exact", 0), ("prefix", 0.2)):
+        got = {}
+        for x in blocking.knn(m, 7, backend=backend, floor=floor).orderBy("src_id", "rank").collect():
+            got.setdefault(x["src_id"], []).append((x["cand_id"], x["cosine_sim"]))
+        for i, near in want.items():
+            near = [(j, s) for j, s in near if s >= floor]
+            assert [j for j, _ in got.get(i, [])] == [j for j, _ in near] and [s for _, s in got.get(i, [])] == pytest.approx([s for _, s in near], abs=2e-6)
+
+
+def test_recall_of_the_approximate_backend(spark):
+    m = R.turns(spark, "/root/testdata/sf0.01")
+    exact, near = ({(x["src_id"], x["cand_id"]) for x in blocking.knn(m, 20, backend=b).collect()} for b in ("exact", "prefix"))
+    assert near and len(exact & near) >= 0.9 * len(exact)
+
+
+def test_backend_follows_from_the_products():
+    assert blocking.choose_backend(10) == "exact" and blocking.choose_backend(10, 1e15) == "prefix" and blocking.choose_backend(10**7) == "prefix"
+    assert blocking.choose_backend(10, 1e15, "exact") == "exact" and blocking.block_count(2_000_000) == 977 and blocking.block_count(0) == 1
+    with pytest.raises(ValueError):
+        blocking.choose_backend(10, None, "hnsw")
+
+
+def test_dense_neighbours_by_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(70, 8)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for blocks in (None, 5):
+        got = {(q["src_id"], q["rank"]): (q["cand_id"], q["cosine_sim"]) for q in blocking.knn_dense(df, 69, blocks).collect()}
+        assert len(got) == 70 * 69
+        for i in range(70):
+            sims = [(-round(float(u[i] @ u[j]), 6), j) for j in range(70) if j != i]
+            for rank, (s, j) in enumerate(sorted(sims), 1):
+                assert got[i, rank][1] == pytest.approx(-s, abs=2e-6)
+
+
+@pytest.mark.parametrize("grower", [trees.Boosting(rounds=60), trees.Forest(trees=40)])
+def test_trees_learn_what_no_line_can(spark, grower):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.random((600, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
+    rows = [(i, i, *map(float, v), int(t), 1.0) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "src_id long, cand_id long, a double, b double, c double, label int, w double")
+    fit, rest = df.filter("src_id < 400"), df.filter("src_id >= 400")
+    model = grower.fit(fit, ("a", "b", "c"), "w")
+    got = rest.select("label", model.score(("a", "b", "c")).alias("p")).collect()
+    assert sum((q["p"] > 0.5) == q["label"] for q in got) >= 190 and all(0 <= q["p"] <= 1 for q in got)
+    assert [q["p"] for q in got] == [q["p"] for q in rest.select(grower.fit(fit, ("a", "b", "c"), "w").score(("a", "b", "c")).alias("p")).collect()]
+
+
+def test_boosting_first_step_is_newtons():
+    """One leaf: minus the gradient over the curvature and the penalty, times the rate."""
+    import numpy as np
+
+    y, w = np.array([1.0, 0.0, 1.0, 1.0]), np.array([1.0, 2.0, 1.0, 0.5])
+    t = trees.Boosting(rounds=1, rows=1.1, depth=0).grow(np.zeros((4, 1)), y, w)
+    g, h = (w * (0.5 - y)).sum(), (w * 0.25).sum()
+    assert t.nodes[0][2][0] == pytest.approx(-0.05 * g / (h + 1.0))
+
+
+def test_curves_over_many_scores(spark):
+    """Ranges of scores add up to the curve of one list."""
+    r = random.Random(9)
+    rows = [(g, int(r.random() < s), s) for g in (0, 1, None) for s in [round(r.random(), 3) for _ in range(700)]]
+    df = spark.createDataFrame(rows, "g int, label int, score double")
+    got = {(x["g"], x["threshold"]): (x["tp"], x["fp"], x["positives"], x["rows"]) for x in evaluation.pr_curve(df, ("g",)).collect()}
+    areas = {x["g"]: x["roc_auc"] for x in evaluation.roc_auc(evaluation.pr_curve(df, ("g",)), ("g",)).collect()}
+    for g in (0, 1, None):
+        mine = [(y, s) for q, y, s in rows if q == g]
+        p = sum(y for y, _ in mine)
+        for s in {s for _, s in mine}:
+            over = [y for y, z in mine if z >= s]
+            assert got[g, s] == (sum(over), len(over) - sum(over), p, 700)
+        pairs = sum((a > b) + (a == b) / 2 for y, a in mine for z, b in mine if y > z)
+        assert areas[g] == pytest.approx(pairs / (p * (700 - p)))
+
+
 def test_lsh_recall(spark):
     r = random.Random(5)
     rows = [(i, [r.gauss(0, 1) for _ in range(16)]) for i in range(200)]
@@ -127,8 +239,45 @@ def test_ner(spark):
     assert [e["text"] for e in got[4]["entities"]] == ["ACM"] and got[2]["total_entities"] == got[3]["total_entities"] == got[5]["total_entities"] == 0
     with pytest.raises(ValueError):
         ner.extract_entities(m, config=ner.NerConfig(model_type="nope"))
-    failed = ner.extract_entities(m, config=ner.NerConfig(model_type="spacy")).filter("id1 = 1").first()
-    assert failed["error"].startswith("OSError") and failed["total_entities"] == 0
+    for missing in (ner.NerConfig(model_type="spacy"), ner.NerConfig(backoff="transformer")):
+        with pytest.raises(OSError):
+            ner.extract_entities(m, config=missing)
+    with pytest.raises(ValueError):
+        ner.extract_entities(m, config=ner.NerConfig(batch_size=0))
+
+
+def test_a_record_that_fails_keeps_its_error(spark, monkeypatch):
+    def picky():
+        sizes = []
+
+        def extract(text):
+            sizes.append(text)
+            if "bad" in text:
+                raise ValueError("no")
+            return [(text, "ORG", 0, len(text), None)]
+
+        return extract
+
+    monkeypatch.setitem(ner.EXTRACTORS, "picky", picky)
+    m = spark.createDataFrame([(1, "good"), (2, "bad one"), (3, "fine")], "id1 long, affil1 string")
+    got = {r["id1"]: (r["total_entities"], r["error"]) for r in ner.extract_entities(m, config=ner.NerConfig(model_type="picky", batch_size=1)).collect()}
+    assert got == {1: (1, None), 2: (0, "ValueError: no"), 3: (1, None)}
+
+
+def test_tokens_merge_by_id_or_position(spark):
+    m = spark.createDataFrame([(10, "a"), (30, "c"), (20, "b")], "id1 long, affil1 string")
+    by_id = ner.merge_tokens(m, spark.createDataFrame([(20, "B")], "id1 long, affil_tokens string"))
+    assert sorted(map(tuple, by_id.collect())) == [(10, "a", None), (20, "b", "B"), (30, "c", None)]
+    tokens = spark.createDataFrame([(2, "B"), (1, "A")], "n long, affil_tokens string")
+    by_place = ner.merge_tokens(m, tokens, order=("id1", "n")).select("id1", "affil_tokens")
+    assert sorted(map(tuple, by_place.collect())) == [(10, "A"), (20, "B"), (30, None)]
+    with pytest.raises(ValueError):
+        ner.merge_tokens(m, tokens)
+
+
+def test_positions(spark):
+    got = with_position(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), F.desc("x")).collect()
+    assert all(r["position"] == 999 - r["x"] for r in got) and len(got) == 1000
 
 
 def test_token_strings(spark):
@@ -153,4 +302,31 @@ def test_sources(spark, tmp_path):
     R.write_gexf(nodes, edges, str(tmp_path / "g.gexf"))
     import xml.etree.ElementTree as E
 
-    assert len([x for x in E.parse(tmp_path / "g.gexf").iter() if x.tag.endswith("}edge")]) == 1
+    tree = list(E.parse(tmp_path / "g.gexf").iter())
+    assert len([x for x in tree if x.tag.endswith("}edge")]) == 1 and len([x for x in tree if x.tag.endswith("}node")]) == 2
+    assert not (tmp_path / "g.gexf.parts").exists()
+    odd = spark.createDataFrame([(1, 'a<b & "c"')], "id long, name string")
+    R.write_gexf(odd, edges, str(tmp_path / "h.gexf"))
+    assert 'a<b & "c"' in [x.get("value") for x in E.parse(tmp_path / "h.gexf").iter()]
+
+
+def test_star_centres_are_split(spark, monkeypatch):
+    from tessera.operators import components
+
+    monkeypatch.setattr(components, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(components, "HOT_CENTRE", 20)
+    edges = [(0, i) for i in range(1, 80)] + [(100 + i, 101 + i) for i in range(30)] + [(79, 500), (500, 501)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {v: 0 if v < 80 or v >= 500 else 100 for e in edges for v in e}
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace
+
+    from tessera.operators.components import shared_folder
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(fake)
+    fake.conf.get = lambda k, d: "hdfs:///shared/"
+    assert shared_folder(fake) == "hdfs:///shared"

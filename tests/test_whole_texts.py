@@ -36,8 +36,8 @@ def test_terms_and_acronyms_after_400_characters_count(spark, docs):
     near = registry.QUERIES["knn_whole_top20"](spark, path).filter("rank = 1").collect()
     assert {r["src_id"]: r["cand_id"] for r in near if r["src_id"] < 20} == {i: i ^ 1 for i in range(20)}
     want = {i: next((w for w in t.split() if w.isupper()), "") for i, t in enumerate(texts)}
-    assert {r["id1"]: r["affil_tokens"] for r in registry.QUERIES["tokens_plain_whole"](spark, path).collect()} == want
-    labeled = registry.QUERIES["tokens_labeled_whole"](spark, path).collect()
+    assert {r["id1"]: r["affil_tokens"] for r in registry.QUERIES["tokens_plain"](spark, path).collect()} == want
+    labeled = registry.QUERIES["tokens_labeled"](spark, path).collect()
     assert {r["id1"]: r["affil_tokens_labeled"] for r in labeled} == {i: w and f"{w}<ORG>" for i, w in want.items()}
     ends = {r["id1"]: r["n"] for r in registry.QUERIES["ner_backoff"](spark, path).selectExpr("id1", "total_entities AS n").collect()}
     assert all(ends[i] for i in range(130))
