@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.arrow import tables
 from tessera.llm.decontaminate import keep_clean
@@ -72,4 +71,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             _remove(spark, before)
         before = path
-    return docs.select("*", F.lit(len(STAGES)).alias("stages"))
+    return docs

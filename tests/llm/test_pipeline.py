@@ -33,3 +33,21 @@ def test_stages_do_what_their_operators_say(spark, tmp_path):
         assert got == sorted(want), name
         docs = after
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == pytest.approx(got)
+
+
+def test_clashing_names_nulls_and_repeats(spark, tmp_path):
+    names = ["size", "shard", "stages", "target", "taken", "accepted", "contaminated", "component_id", "id", "sid", "_key", "slot", "Text_Crc32"]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    extra = ("x",) * len(names)
+    texts = [" ".join(f"word{(i * 7 + j * j) % 997}" for j in range(30 + i)) for i in range(60)]
+    rows = [(i, t, "en", "a" if i % 3 else None, len(t), *extra) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, texts[1], None, None, None, *extra), (None, None, None, None, None, *extra), (900, "", "en", "b", 0, *extra)]
+    docs = spark.createDataFrame(rows, shape)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tables(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    tables(spark, SF, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    got = out.collect()
+    assert got and all(r[n] == "x" for r in got for n in names)
+    assert {(r["doc_id"], r["text"]) for r in got} <= {r[:2] for r in rows}
