@@ -116,16 +116,22 @@ def sample_nodes(edges: DataFrame, max_nodes: int = 400, seeds: int = 100) -> Da
     """(id): up to max_nodes vertices in the two-step neighbourhoods of the vertices of greatest degree.
 
     The sample is a report: the limit is its purpose. Seeds come by degree and
-    id; each brings its neighbourhood in the order of a hash, itself first.
+    id; each brings its neighbourhood in the order of a hash, itself first. Each
+    step keeps the best seed of a vertex alone, so it makes at most a row per
+    end of an edge, however great the hubs are. The seeds are broadcast: their
+    number is the bound.
     """
     w = Window.orderBy(F.desc("degree"), F.asc("id"))
-    top = degrees(edges).orderBy(F.desc("degree"), F.asc("id")).limit(seeds).withColumn("seed_rank", F.row_number().over(w)).select(F.col("id").alias("seed"), "seed_rank")
+    top = degrees(edges).orderBy(F.desc("degree"), F.asc("id")).limit(seeds).withColumn("seed_rank", F.row_number().over(w)).select("id", "seed_rank")
     near = ends(edges)
-    one = top.join(near, top["seed"] == near["id"]).select("seed", "seed_rank", F.col("other").alias("id"))
-    two = one.alias("o").join(near.alias("n"), F.col("o.id") == F.col("n.id")).select("seed", "seed_rank", F.col("n.other").alias("id"))
-    reached = top.select("seed", "seed_rank", F.col("seed").alias("id")).unionAll(one).unionAll(two).distinct()
-    ranked = reached.groupBy("id").agg(F.min(F.struct("seed_rank", (F.col("id") != F.col("seed")).alias("far"), F.md5(F.col("id").cast("string")).alias("draw"))).alias("at"))
-    return ranked.orderBy("at", "id").limit(max_nodes).select("id")
+    reached = top
+    for _ in range(2):
+        step = near.join(reached, "id").select(F.col("other").alias("id"), "seed_rank")
+        reached = reached.unionAll(step).groupBy("id").agg(F.min("seed_rank").alias("seed_rank"))
+    own = F.broadcast(top.select("id", F.col("seed_rank").alias("own")))
+    far = ~F.col("own").eqNullSafe(F.col("seed_rank"))
+    ranked = reached.join(own, "id", "left").select("id", "seed_rank", far.alias("far"), F.md5(F.col("id").cast("string")).alias("draw"))
+    return ranked.orderBy("seed_rank", "far", "draw", "id").limit(max_nodes).select("id")
 
 
 def sample_subgraph(edges: DataFrame, max_nodes: int = 400) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -44,6 +45,28 @@ def test_match_graph_and_components(spark):
     assert sorted(map(tuple, graph.components(e, spark.range(1, 8)).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (7, 7)]
 
 
+def test_sample_is_that_of_two_steps_around_the_hubs(spark):
+    r = random.Random(8)
+    pairs = {(0, i) for i in range(2, 60)} | {(1, i) for i in range(40, 90)}
+    pairs |= {tuple(sorted(r.sample(range(200), 2))) for _ in range(90)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "u long, v long, weight double")
+    top = sorted(near, key=lambda x: (-len(near[x]), x))[:6]
+    at = {}
+    for rank, s in enumerate(top):
+        reach = {s} | near[s] | {y for x in near[s] for y in near[x]}
+        for x in reach:
+            at.setdefault(x, (rank, x != s, hashlib.md5(str(x).encode()).hexdigest(), x))
+    want = sorted(at, key=at.get)[:70]
+    assert [x["id"] for x in graph.sample_nodes(edges, 70, 6).collect()] == want
+    assert graph.sample_subgraph(edges, 1000).count() == len(pairs)
+    kept = {x["id"] for x in graph.sample_nodes(edges, 70).collect()}
+    assert {(e["u"], e["v"]) for e in graph.sample_subgraph(edges, 70).collect()} == {(a, b) for a, b in pairs if a in kept and b in kept}
+
+
 def test_components_of_random_and_long_graphs(spark):
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 420)] + [(1000, i) for i in range(1001, 1100)]
