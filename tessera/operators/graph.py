@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.components import connected_components
+from tessera.operators.components import checkpointed, connected_components
 from tessera.operators.ranks import with_position
 
 
@@ -85,16 +85,76 @@ def louvain_of(edges: list[tuple[int, int, float]], passes: int = 20) -> dict[in
     return {v: first[home[v]] for v in names}
 
 
-def louvain(edges: DataFrame) -> DataFrame:
-    """(id, community): communities inside each connected component. A component is one task; above a match threshold they are small."""
-    labeled = edges.join(connected_components(edges).withColumnRenamed("id", "u"), "u")
+def _moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """(id, node): each vertex with the least vertex of its community, after rounds of modularity moves by all vertices at once.
+
+    edges: (component, u, v, weight), self loops allowed. In a round half of the
+    vertices, by a hash, may move to the best community beside them; of two
+    lone vertices only the greater one moves, so that they can't change places.
+    """
+    both = edges.select("component", F.col("u").alias("id"), F.col("v").alias("other"), "weight").unionAll(edges.select("component", "v", "u", "weight"))
+    total = both.groupBy("component").agg(F.sum("weight").alias("total"))
+    state = both.groupBy("component", "id").agg(F.sum("weight").alias("k")).join(total, "component").select("id", "k", "total", F.col("id").alias("comm"))
+    state, still = checkpointed(state), 0
+    for t in range(rounds):
+        mass = state.groupBy("comm").agg(F.sum("k").alias("mass"), F.count("*").alias("n"))
+        beside = state.select(F.col("id").alias("other"), F.col("comm").alias("c"))
+        pull = both.filter("id <> other").join(beside, "other").groupBy("id", "c").agg(F.sum("weight").alias("near"))
+        there = mass.select(F.col("comm").alias("c"), F.col("mass").alias("c_mass"), F.col("n").alias("c_n"))
+        own = F.col("c") == F.col("comm")
+        gain = F.round(F.col("near") - F.col("k") * (F.col("c_mass") - F.when(own, F.col("k")).otherwise(0.0)) / F.col("total"), 12)
+        choice = pull.join(state, "id").join(there, "c").withColumn("gain", gain).groupBy("id")
+        choice = choice.agg(F.max(F.when(~own, F.struct("gain", (-F.col("c")).alias("neg"), "c_n"))).alias("best"), F.max(F.when(own, F.col("gain"))).alias("stay"))
+        stay = F.coalesce("stay", -F.col("k") * (F.col("mass") - F.col("k")) / F.col("total"))
+        to = -F.col("best.neg")
+        swap = (F.col("n") == 1) & (F.col("best.c_n") == 1) & (to > F.col("comm"))
+        move = (F.col("best.gain") > stay + 1e-9) & (F.pmod(F.xxhash64("id", F.lit(t)), F.lit(2)) == 0) & ~swap
+        after = state.join(mass, "comm").join(choice, "id", "left").select("id", "k", "total", F.when(move, to).otherwise(F.col("comm")).alias("comm"), F.coalesce(move, F.lit(False)).alias("moved"))
+        after = checkpointed(after)
+        still = still + 1 if after.filter("moved").isEmpty() else 0
+        state = after.drop("moved")
+        if still == 2:
+            break
+    least = state.groupBy("comm").agg(F.min("id").alias("node"))
+    return checkpointed(state.join(least, "comm").select("id", "node"))
+
+
+def louvain(edges: DataFrame, task_edges: int = 1_000_000) -> DataFrame:
+    """(id, community): communities inside each connected component, named by their least vertex.
+
+    A component of up to task_edges edges is one task. Greater ones are first
+    merged by moves of all vertices at once, as DataFrame joins, until they are
+    no greater than that; those that no move makes smaller stay as merged.
+    """
+    within = checkpointed(edges.join(connected_components(edges).withColumnRenamed("id", "u"), "u").select("component", "u", "v", "weight"))
+
+    def great(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("component").count().filter(F.col("count") > task_edges).select("component")
+
+    home = None
+    while not (big := checkpointed(great(within))).isEmpty():
+        rows = within.join(big, "component", "left_semi")
+        to = _moves(rows)
+        if to.filter("id <> node").isEmpty():
+            break
+        if home is None:
+            home = ends(within).select("id").distinct().withColumn("node", F.col("id"))
+        home = checkpointed(home.join(to.select(F.col("id").alias("node"), F.col("node").alias("_to")), "node", "left").select("id", F.coalesce("_to", "node").alias("node")))
+        named = rows.join(to.select(F.col("id").alias("u"), F.col("node").alias("a")), "u").join(to.select(F.col("id").alias("v"), F.col("node").alias("b")), "v")
+        merged = named.groupBy("component", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("weight").alias("weight"))
+        within = checkpointed(within.join(big, "component", "left_anti").unionByName(merged))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(group.u, group.v, group.weight, strict=True))
         found = louvain_of([(int(u), int(v), float(w)) for u, v, w in rows])
         return pd.DataFrame({"id": list(found), "community": list(found.values())})
 
-    return labeled.groupBy("component").applyInPandas(run, "id long, community long")
+    found = within.join(big, "component", "left_anti").groupBy("component").applyInPandas(run, "id long, community long")
+    left = ends(within.join(big, "component", "left_semi")).select("id", F.col("id").alias("community")).distinct()
+    found = found.unionByName(left)
+    if home is None:
+        return found
+    return home.join(found.withColumnRenamed("id", "node"), "node").select("id", "community")
 
 
 def communities(edges: DataFrame, use_louvain: bool = True) -> DataFrame:

@@ -96,6 +96,23 @@ def test_louvain_refines_components(spark):
     assert graph.modularity(e, found).first()[0] >= graph.modularity(e, whole).first()[0]
 
 
+def test_louvain_of_great_components(spark):
+    r = random.Random(4)
+    rows = {(i, j) for g in range(12) for i in range(g * 20, g * 20 + 20) for j in range(i + 1, g * 20 + 20) if r.random() < 0.5}
+    rows |= {(g * 20, (g * 20 + 20) % 240) for g in range(11)} | {tuple(sorted(r.sample(range(240), 2))) for _ in range(40)}
+    rows |= {(500, 501), (501, 502)}  # a component that is small enough
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in rows], "u long, v long, weight double")
+    at_once, in_tasks = graph.louvain(e, task_edges=60), graph.louvain(e)
+    got, whole = dict(map(tuple, at_once.collect())), dict(map(tuple, in_tasks.collect()))
+    assert at_once.count() == len(got) and set(got) == set(whole) == {x for p in rows for x in p}
+    assert all(c == min(x for x in got if got[x] == c) for c in got.values())
+    assert got[500] == got[501] == got[502] == 500 and len({c for x, c in got.items() if x < 500}) > 1
+    assert graph.modularity(e, at_once).first()[0] >= 0.95 * graph.modularity(e, in_tasks).first()[0]
+    # a single edge more than allowed that no move can make smaller stays as it is
+    pair = spark.createDataFrame([(1, 2, 1.0)], "u long, v long, weight double")
+    assert {x["id"] for x in graph.louvain(pair, task_edges=0).collect()} == {1, 2}
+
+
 def test_labels(spark):
     gold = spark.createDataFrame([("b", "a"), ("a", "b"), ("c", "d")], "src string, cand string")
     pairs = spark.createDataFrame([("a", "b"), ("d", "c"), ("a", "c")], "src_id string, cand_id string")
