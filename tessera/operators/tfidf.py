@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,12 +26,21 @@ def vocabulary(counts: DataFrame, n: Column, min_df: int = 2, max_df: float = 0.
     return kept.withColumn("idf", idf(F.col("df"), n))
 
 
+def weighted(counts: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
+    """(id, term, w) of the vocabulary's terms: frequency times idf, of any length."""
+    tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
+    return counts.join(vocab.select("term", "idf"), "term").select("id", "term", (tf * F.col("idf")).alias("w"))
+
+
+def unit(vectors: DataFrame) -> DataFrame:
+    """The vectors (id, term, w) at length 1 over each id."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return vectors.select("id", "term", (F.col("w") / norm).alias("w"))
+
+
 def unit_vectors(counts: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
     """(id, term, w) of length 1 over each id; ids without a term of the vocabulary are absent."""
-    tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    raw = counts.join(vocab.select("term", "idf"), "term").select("id", "term", (tf * F.col("idf")).alias("x"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("x") / F.col("norm")).alias("w"))
+    return unit(weighted(counts, vocab, sublinear))
 
 
 def tfidf(records: DataFrame, terms: Column, min_df: int = 2, max_df: float = 0.9, sublinear: bool = True, id_col: str = "id1") -> DataFrame:

@@ -169,6 +169,27 @@ def test_neighbours_by_brute_force(spark, monkeypatch, rows):
             assert [j for j, _ in got.get(i, [])] == [j for j, _ in near] and [s for _, s in got.get(i, [])] == pytest.approx([s for _, s in near], abs=2e-6)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_neighbours_meet_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(blocking.block_count, "__defaults__", (9,))
+    texts = [(i, f"alike w{i % 7} v{i % 5}") for i in range(60)]
+    near = blocking.knn(spark.createDataFrame(texts, "id1 long, affil1 string"), 3)
+    assert "CartesianProduct" in plan_of(near) and "Exchange" not in plan_of(near)
+    assert near.count() == 180
+
+
+def test_groups_of_blocks_agree_with_one_group(spark, monkeypatch):
+    monkeypatch.setattr(blocking.block_count, "__defaults__", (9,))
+    texts = [(f"r{i}", f"alike w{i % 7} v{i % 5} u{i % 11}") for i in range(100)]
+    m = spark.createDataFrame(texts, "id1 string, affil1 string")
+    one = sorted(map(tuple, blocking.knn(m, 4).collect()))
+    monkeypatch.setattr(blocking, "GROUP_BLOCKS", 2)
+    assert one == sorted(map(tuple, blocking.knn(m, 4).collect())) and len(one) == 400
+
+
 def test_recall_of_the_approximate_backend(spark):
     m = R.turns(spark, "/root/testdata/sf0.01")
     exact, near = ({(x["src_id"], x["cand_id"]) for x in blocking.knn(m, 20, backend=b).collect()} for b in ("exact", "prefix"))
