@@ -202,6 +202,22 @@ def test_block_pairs_are_not_dealt_out(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= overlap)
 
 
+def test_texts_are_not_dealt_out_with_pairs(spark, monkeypatch):
+    m = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "id1 long, affil1 string").repartition(3)
+    pairs = spark.createDataFrame([(0, 1), (3, 4), (2, 99), (99, 0)], "src_id long, cand_id long").repartition(3)
+    monkeypatch.setattr(blocking, "BROADCAST_TEXT", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = blocking.enrich(pairs, m).select("src_id", "cand_id", "src_text", "cand_text")
+        monkeypatch.setattr(blocking, "BROADCAST_TEXT", 10_000)
+        sent = blocking.enrich(pairs, m).select("src_id", "cand_id", "src_text", "cand_text")
+        assert "SortMergeJoin" in plan_of(dealt) and "SortMergeJoin" not in plan_of(sent)
+        rows = sorted(map(tuple, sent.collect()), key=str)
+        assert rows == sorted(map(tuple, dealt.collect()), key=str) and (99, 0, None, "text 0") in rows and (2, 99, "text 2", None) in rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_recall_of_the_approximate_backend(spark):
     m = R.turns(spark, "/root/testdata/sf0.01")
     exact, near = ({(x["src_id"], x["cand_id"]) for x in blocking.knn(m, 20, backend=b).collect()} for b in ("exact", "prefix"))
