@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import find_acronyms, sweep_tokens, vector_tokens, word_ngrams
-from tessera.operators.blocking import neighbours
-from tessera.operators.tfidf import term_counts, unit_vectors, vocabulary
+from tessera.operators.blocking import BROADCAST_TEXT, gram_vectors, neighbours
+from tessera.operators.components import checkpointed
+from tessera.operators.tfidf import term_counts, vocabulary
 
 KS = (5, 10, 20, 30, 40, 50, 75, 100)
 
@@ -34,20 +35,24 @@ def important_tokens(records: DataFrame, vocab: DataFrame, stop: DataFrame) -> D
 def k_sweep(records: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """(k, overlap_purity, jaccard_purity, avg_cosine, reduction_ratio) for each k below the number of records.
 
-    The neighbours are ranked once, to the greatest k; every k reads a prefix.
+    The neighbours are ranked once, to the greatest k, and summed by rank; every
+    k reads a prefix. Token sets of up to BROADCAST_TEXT bytes go to the pairs.
     """
     n = records.count()
     ks = tuple(k for k in ks if k < n)
     vocab = sweep_vocabulary(records)
-    counts = term_counts(records, word_ngrams(vector_tokens(F.col("affil1"))))
-    near = neighbours(unit_vectors(counts, vocab), max(ks))
-    tokens = important_tokens(records, vocab, auto_stopwords(vocab, n)).groupBy("id").agg(F.collect_set("term").alias("terms"))
+    vectors, df, _ = gram_vectors(records, word_ngrams(vector_tokens(F.col("affil1"))), 0.99)
+    near = neighbours(vectors, max(ks), df=df, n=n)
+    tokens = checkpointed(important_tokens(records, vocab, auto_stopwords(vocab, n)).groupBy("id").agg(F.collect_set(F.xxhash64("term")).alias("terms")))
     a, b = tokens.select(F.col("id").alias("src_id"), F.col("terms").alias("ta")), tokens.select(F.col("id").alias("cand_id"), F.col("terms").alias("tb"))
-    none = F.array().cast("array<string>")
+    if (tokens.agg(F.sum(8 * F.size("terms") + 40)).first()[0] or 0) <= BROADCAST_TEXT:
+        a, b = F.broadcast(a), F.broadcast(b)
+    none = F.array().cast("array<long>")
     joined = near.join(a, "src_id", "left").join(b, "cand_id", "left").withColumns({"ta": F.coalesce("ta", none), "tb": F.coalesce("tb", none)})
-    shared, union = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
-    judged = joined.select("src_id", "rank", "cosine_sim", (shared > 0).cast("int").alias("hit"), F.when(union > 0, shared / union).otherwise(0.0).alias("jac"))
-    at = judged.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("rank") <= F.col("k"))
+    counted = joined.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("union", F.size("ta") + F.size("tb") - F.col("shared"))
+    judged = counted.select("rank", "cosine_sim", (F.col("shared") > 0).cast("int").alias("hit"), F.when(F.col("union") > 0, F.col("shared") / F.col("union")).otherwise(0.0).alias("jac"))
+    ranks = judged.groupBy("rank").agg(F.sum("hit").alias("hit"), F.sum("jac").alias("jac"), F.sum("cosine_sim").alias("cosine_sim"))
+    at = ranks.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("rank") <= F.col("k"))
     sums = at.groupBy("k").agg(F.sum("hit").alias("hits"), F.sum("jac").alias("jacs"), F.sum("cosine_sim").alias("sims"))
     cells = F.lit(n) * F.col("k")
     return sums.select("k", (F.col("hits") / cells).alias("overlap_purity"), (F.col("jacs") / cells).alias("jaccard_purity"), (F.col("sims") / cells).alias("avg_cosine"), (1 - cells / (F.lit(n) * F.lit(n - 1))).alias("reduction_ratio"))
