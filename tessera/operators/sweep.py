@@ -41,8 +41,7 @@ def k_sweep(records: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     n = records.count()
     ks = tuple(k for k in ks if k < n)
     vocab = sweep_vocabulary(records)
-    vectors, df, _ = gram_vectors(records, word_ngrams(vector_tokens(F.col("affil1"))), 0.99)
-    near = neighbours(vectors, max(ks), df=df, n=n)
+    near = neighbours(gram_vectors(records, word_ngrams(vector_tokens(F.col("affil1"))), 0.99), max(ks))
     tokens = checkpointed(important_tokens(records, vocab, auto_stopwords(vocab, n)).groupBy("id").agg(F.collect_set(F.xxhash64("term")).alias("terms")))
     a, b = tokens.select(F.col("id").alias("src_id"), F.col("terms").alias("ta")), tokens.select(F.col("id").alias("cand_id"), F.col("terms").alias("tb"))
     if (tokens.agg(F.sum(8 * F.size("terms") + 40)).first()[0] or 0) <= BROADCAST_TEXT:

@@ -202,6 +202,56 @@ def test_block_pairs_are_not_dealt_out(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= overlap)
 
 
+@pytest.mark.parametrize("rows, terms", [(2048, 10**6), (9, 10**6), (9, 0)])
+def test_cosines_of_pairs_without_dealing_out_terms(spark, monkeypatch, rows, terms):
+    from tessera.operators import features
+
+    monkeypatch.setattr(blocking.block_count, "__defaults__", (rows,))
+    monkeypatch.setattr(blocking, "BROADCAST_TERMS", terms)
+    r = random.Random(8)
+    texts = [(f"r{i}", " ".join(r.choices([f"w{j}" for j in range(30)], k=r.randint(0, 9)))) for i in range(50)] + [("s", "alone here"), ("t", "same text"), ("u", "same text")]
+    names = [i for i, _ in texts]
+    pairs = [(r.choice(names), r.choice(names)) for _ in range(200)] + [("t", "u"), ("s", "s"), ("s", "r0")]
+    m = spark.createDataFrame(texts, "id1 string, affil1 string")
+    p = spark.createDataFrame(pairs, "src_id string, cand_id string")
+    out = blocking.pair_cosines(p, m, features.word_terms(features.F.col("affil1")), "x")
+    got = {(x["src_id"], x["cand_id"]): x["x"] for x in out.collect()}
+    filled = blocking.enrich(p, m).localCheckpoint()
+    want = {(x["src_id"], x["cand_id"]): x["tfidf_word_cosine"] for x in features.with_cosine(filled, features.tfidf_word(filled)).collect()}
+    assert got.keys() == want.keys() == set(pairs) and got == pytest.approx(want) and got["t", "u"] == pytest.approx(1)
+    assert "ExplodeNode" not in plan_of(out) and "Generate" not in plan_of(out)
+
+
+def test_a_text_is_split_once(spark):
+    """What came to seven times before: the text function in the plan of its words and pairs of words."""
+    from tessera.functions import text as T
+
+    df = spark.createDataFrame([("Ab cd ab",), ("",), ("x",), (None,)], "t string")
+    out = df.select(T.word_ngrams(T.vector_tokens(T.F.col("t"))).alias("g"))
+    assert plan_of(out).count("regexp_extract_all") == 1
+    assert [r[0] for r in out.collect()] == [["ab", "cd", "ab", "ab cd", "cd ab"], [], [], None]
+    many = spark.createDataFrame([([5, 3, 5, -2],), ([],)], "t array<long>").select(T.counted(T.F.col("t")).alias("c"))
+    assert [(r.c.t, r.c.tf) for r in many.collect()] == [([-2, 3, 5], [1, 1, 2]), ([], [])]
+
+
+def test_what_led_to_a_checkpoint_is_released(spark, monkeypatch):
+    import time
+
+    from tessera.operators import components as C
+
+    monkeypatch.setattr(C, "RELEASE_S", 0.0)
+    tracker = spark._jsparkSession.sparkContext().env().mapOutputTracker()
+    before = {i for i in range(10_000) if tracker.containsShuffle(i)}
+    made = lambda: [i for i in range(10_000) if i not in before and tracker.containsShuffle(i)]
+    out = spark.range(1000).selectExpr("id AS k")
+    for n in (50, 20, 7):
+        out = C.checkpointed(out.selectExpr(f"k % {n} AS k").repartition(3, "k").groupBy("k").count())
+    end = time.monotonic() + 20
+    while len(made()) > 1 and time.monotonic() < end:
+        time.sleep(0.2)
+    assert len(made()) <= 1 and out.count() == 7  # the last one may still be referred to
+
+
 def test_texts_are_not_dealt_out_with_pairs(spark, monkeypatch):
     m = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "id1 long, affil1 string").repartition(3)
     pairs = spark.createDataFrame([(0, 1), (3, 4), (2, 99), (99, 0)], "src_id long, cand_id long").repartition(3)
