@@ -38,13 +38,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     out = df.checkpoint()
     del df
-    _release(spark)
+    release(spark)
     return out
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffles (and, if its cleaner is set to, checkpoints) that nothing refers to: it does so only as the driver's garbage is collected. Short steps one after another share a collection."""
-    if time.monotonic() - _released[0] >= RELEASE_S:
+def release(spark: SparkSession, wait: float | None = None) -> None:
+    """Lets Spark delete the shuffles (and, if its cleaner is set to, checkpoints) that nothing refers to: it does so only as the driver's garbage is collected. Short steps one after another share a collection: wait (RELEASE_S) seconds must lie between two."""
+    if time.monotonic() - _released[0] >= (RELEASE_S if wait is None else wait):
         for _ in range(2):  # the first ends the proxies, the second what they held
             gc.collect()
             spark.sparkContext._jvm.System.gc()

@@ -469,3 +469,38 @@ def test_a_cluster_must_name_its_folder():
         shared_folder(fake)
     fake.conf.get = lambda k, d: "hdfs:///shared/"
     assert shared_folder(fake) == "hdfs:///shared"
+
+
+def test_packed_blocks_take_few_bytes(spark):
+    """An entry came to 20 bytes in a packed block, and to 12 in the rows written before it."""
+    r = random.Random(3)
+    texts = [(i, " ".join(r.choices([f"w{j}" for j in range(400)], k=40))) for i in range(2000)]
+    grams = blocking.gram_vectors(spark.createDataFrame(texts, "id1 long, affil1 string"), blocking.word_ngrams(blocking.vector_tokens(F.col("affil1"))))
+    columns = [c for c in grams.packs.columns if c not in ("b", "ids")]
+    size = grams.packs.agg(F.sum(sum((F.octet_length(c) for c in columns), F.lit(0)))).first()[0]
+    entries = grams.vectors().count()
+    assert entries > 100_000 and size <= 6 * entries
+    pairs = spark.createDataFrame([(t, i) for i in range(300) for t in range(i % 7, 40)], "block_key int, id int")
+    packs = blocking.packed_blocks(pairs.groupBy("id").agg(F.collect_set(F.xxhash64("block_key")).alias("t")), 1, lambda d: d.select("_b", "id", F.explode("t").alias("t"), F.lit(1.0).alias("w"))).first()
+    assert sum(len(packs[c]) for c in packs.asDict() if c not in ("b", "ids")) <= 6 * pairs.count()
+
+
+def test_small_arrays_come_back():
+    np = blocking.np
+    for kind in (np.int32, np.int64, np.float64):
+        for x in ([], [7], [-3, 5, 2**31 - 1, -(2**31)]):
+            assert blocking._whole(blocking._small(np.array(x, dtype=kind)), kind).tolist() == x
+    ends = np.array([-(2**63), -1, 0, 2**63 - 1])
+    assert blocking._whole_steps(blocking._small_steps(ends)).tolist() == ends.tolist()
+
+
+@pytest.mark.parametrize("backend", ["exact", "prefix"])
+def test_only_neighbours_over_the_floor_are_handed_on(spark, monkeypatch, backend):
+    monkeypatch.setattr(blocking.block_count, "__defaults__", (9,))
+    r = random.Random(9)
+    m = spark.createDataFrame([(i, " ".join(r.choices([f"w{j}" for j in range(25)], k=9))) for i in range(80)], "id1 long, affil1 string")
+    every = blocking.knn(m, 5)
+    want = sorted(map(tuple, every.filter("cosine_sim >= 0.3").collect()))
+    grams = blocking.gram_vectors(m, blocking.word_ngrams(blocking.vector_tokens(F.col("affil1"))))
+    got = sorted(map(tuple, blocking.neighbours(grams, 5, backend, min_sim=0.3).select(every.columns).collect()))
+    assert got == want and 0 < len(want) < every.count()
