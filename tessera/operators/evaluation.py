@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.components import checkpointed
+
 
 def stratified_folds(labeled: DataFrame, n_folds: int = 5, seed: int = 42, key: tuple[str, ...] = ("src_id", "cand_id"), label: str = "label") -> DataFrame:
     """Adds `fold` 0 .. n_folds - 1: each label's rows, in the order of a seeded hash, go round the folds."""
@@ -48,11 +50,13 @@ def pr_curve(scored: DataFrame, group: tuple[str, ...] = (), label: str = "label
     """(group, threshold, p, n, tp, fp, positives, rows, precision, recall) at `score >= threshold`, one row per distinct score; p and n count the score's own rows.
 
     Scores are cut into ranges; sums within a range are added to those of the
-    ranges above, so that no task ranks all scores.
+    ranges above, so that no task ranks all scores. The rows are read once: what
+    is written are the sums by score.
     """
     g = list(group)
     points = scored.groupBy(*g, F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    cuts = scored.agg(F.percentile_approx(F.col(score).cast("double"), [i / RANGES for i in range(1, RANGES)], 100 * RANGES)).first()[0] or []
+    points = checkpointed(points)
+    cuts = points.agg(F.percentile_approx(F.col("threshold").cast("double"), [i / RANGES for i in range(1, RANGES)], 100 * RANGES)).first()[0] or []
     above = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]), lambda x: x > F.col("threshold"))) if cuts else F.lit(0)
     points = points.withColumn("_range", above)
     sums = points.groupBy(*g, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))

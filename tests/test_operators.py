@@ -504,3 +504,15 @@ def test_only_neighbours_over_the_floor_are_handed_on(spark, monkeypatch, backen
     grams = blocking.gram_vectors(m, blocking.word_ngrams(blocking.vector_tokens(F.col("affil1"))))
     got = sorted(map(tuple, blocking.neighbours(grams, 5, backend, min_sim=0.3).select(every.columns).collect()))
     assert got == want and 0 < len(want) < every.count()
+
+
+def test_curves_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(parts):
+        for x in parts:
+            seen.add(len(x))
+            yield x
+
+    rows = spark.createDataFrame(SCORES, "label int, score double").mapInPandas(tell, "label int, score double")
+    assert evaluation.best_threshold(rows).first()["threshold"] == 0.35 and seen.value == len(SCORES)
