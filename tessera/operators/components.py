@@ -15,7 +15,7 @@ BROADCAST_EDGES = 250_000
 HOT_CENTRE = 100_000
 
 #: Seconds after which a checkpoint has the driver's garbage collected once more.
-RELEASE_S = 2.0
+RELEASE_S = 3.0
 _released = [0.0]
 
 
@@ -38,17 +38,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     out = df.checkpoint()
     del df
-    _release(spark)
+    release(spark)
     return out
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffles (and, if its cleaner is set to, checkpoints) that nothing refers to: it does so only as the driver's garbage is collected. Short steps one after another share a collection."""
-    if time.monotonic() - _released[0] >= RELEASE_S:
-        for _ in range(2):  # the first ends the proxies, the second what they held
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-        _released[0] = time.monotonic()
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles (and, if its cleaner is set to, checkpoints) that nothing refers to: it does so only as the driver's garbage is collected. Short steps one after another share a collection.
+
+    Spark's listeners hold the last query that ended, with its plan and shuffles:
+    so empty ones, which take no job, end between collections.
+    """
+    if time.monotonic() - _released[0] < RELEASE_S:
+        return
+    jvm = spark.sparkContext._jvm
+    gc.collect()
+    jvm.System.gc()
+    for _ in range(3):  # one is often too early for the last shuffle
+        time.sleep(0.2)
+        spark._jsparkSession.sql("SELECT 1").collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        jvm.System.gc()
+    _released[0] = time.monotonic()
 
 
 def _state(edges: DataFrame) -> tuple:

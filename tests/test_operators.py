@@ -526,3 +526,47 @@ def test_members_of_blocks_are_not_dealt_out_by_token(spark):
         assert "SortMergeJoin" not in plan_of(got) and sorted(map(tuple, got.collect())) == [("b", 1), ("b", 3)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_neighbours_write_less_than_their_texts(spark):
+    """With the counted terms of all blocks it came to 1.27 bytes a byte of text."""
+    import os
+
+    from tessera.operators.components import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names)
+    r = random.Random(6)
+    texts = [(i, " ".join(r.choices([f"word{j}" for j in range(3000)], k=60))) for i in range(2000)]
+    m = spark.createDataFrame(texts, "id1 long, affil1 string")
+    before = size()
+    grams = blocking.gram_vectors(m, blocking.word_ngrams(blocking.vector_tokens(F.col("affil1"))))
+    written, read = size() - before, sum(len(t) for _, t in texts)
+    assert grams.n == 2000 and written <= 0.8 * read
+
+
+@pytest.mark.parametrize("few", [0, 100_000_000])
+def test_kept_texts_come_back_in_their_blocks(spark, monkeypatch, few):
+    """With nulls, empty texts and ids of text; frequencies broadcast or joined; several ranges of hashes."""
+    monkeypatch.setattr(blocking.block_count, "__defaults__", (9,))
+    monkeypatch.setattr(blocking, "COUNTED_BLOCKS", 2)
+    monkeypatch.setattr(blocking, "BROADCAST_TEXT", few)
+    r = random.Random(8)
+    texts = [(i, r.choice(["", "é x", " ".join(r.choices([f"w{j}" for j in range(30)], k=r.randint(1, 9)))])) for i in range(120)]
+    want = {(f"r{i}", f"r{j}"): s for i, near in brute_neighbours(texts, 200).items() for j, s in near}
+    m = spark.createDataFrame([(f"r{i}", t or None) for i, t in texts], "id1 string, affil1 string")
+    got = {(x["src_id"], x["cand_id"]): x["cosine_sim"] for x in blocking.knn(m, 200).collect()}
+    assert len(want) > 500 and got == pytest.approx(want, abs=2e-6)
+
+
+def test_the_last_shuffle_is_released_too(spark, monkeypatch):
+    import time
+
+    from tessera.operators import components as C
+
+    monkeypatch.setattr(C, "RELEASE_S", 0.0)
+    tracker = spark._jsparkSession.sparkContext().env().mapOutputTracker()
+    before = {i for i in range(10_000) if tracker.containsShuffle(i)}
+    out = C.checkpointed(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    time.sleep(2)
+    assert not [i for i in range(10_000) if i not in before and tracker.containsShuffle(i)] and out.count() == 1000
