@@ -42,13 +42,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffles (and, if its cleaner is set to, checkpoints) that nothing refers to: it does so only as the driver's garbage is collected. Short steps one after another share a collection.
+def release(spark: SparkSession, now: bool = False) -> None:
+    """Lets Spark delete the shuffles (and, if its cleaner is set to, checkpoints) that nothing refers to: it does so only as the driver's garbage is collected. Short steps one after another share a collection, unless it is to be now.
 
     Spark's listeners hold the last query that ended, with its plan and shuffles:
     so empty ones, which take no job, end between collections.
     """
-    if time.monotonic() - _released[0] < RELEASE_S:
+    if not now and time.monotonic() - _released[0] < RELEASE_S:
         return
     jvm = spark.sparkContext._jvm
     gc.collect()
