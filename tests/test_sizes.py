@@ -12,6 +12,7 @@ from tessera.plans import registry
 NEIGHBOURS = [
     "average_precision",
     "class_weights",
+    "f1_threshold",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
