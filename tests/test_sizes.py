@@ -13,6 +13,7 @@ NEIGHBOURS = [
     "average_precision",
     "class_weights",
     "f1_threshold",
+    "f1_threshold_shifted",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
