@@ -14,6 +14,7 @@ NEIGHBOURS = [
     "class_weights",
     "f1_threshold",
     "f1_threshold_shifted",
+    "feat_jaro_winkler",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
