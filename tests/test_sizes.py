@@ -16,6 +16,7 @@ NEIGHBOURS = [
     "f1_threshold_shifted",
     "feat_jaro_winkler",
     "feat_lcs_edit",
+    "feat_metaphone",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
