@@ -17,6 +17,7 @@ NEIGHBOURS = [
     "feat_jaro_winkler",
     "feat_lcs_edit",
     "feat_metaphone",
+    "feat_tfidf_word",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
