@@ -18,6 +18,7 @@ NEIGHBOURS = [
     "feat_lcs_edit",
     "feat_metaphone",
     "feat_tfidf_word",
+    "feat_token_cosine",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
