@@ -19,6 +19,7 @@ NEIGHBOURS = [
     "feat_metaphone",
     "feat_tfidf_word",
     "feat_token_cosine",
+    "feat_token_jaccard",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
