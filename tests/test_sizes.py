@@ -20,6 +20,7 @@ NEIGHBOURS = [
     "feat_tfidf_word",
     "feat_token_cosine",
     "feat_token_jaccard",
+    "fold_report",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
