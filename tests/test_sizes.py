@@ -21,6 +21,7 @@ NEIGHBOURS = [
     "feat_token_cosine",
     "feat_token_jaccard",
     "fold_report",
+    "k_sweep",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
