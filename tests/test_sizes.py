@@ -22,6 +22,7 @@ NEIGHBOURS = [
     "feat_token_jaccard",
     "fold_report",
     "k_sweep",
+    "knn_enriched",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
