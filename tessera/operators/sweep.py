@@ -53,5 +53,5 @@ def k_sweep(records: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     ranks = judged.groupBy("rank").agg(F.sum("hit").alias("hit"), F.sum("jac").alias("jac"), F.sum("cosine_sim").alias("cosine_sim"))
     at = ranks.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("rank") <= F.col("k"))
     sums = at.groupBy("k").agg(F.sum("hit").alias("hits"), F.sum("jac").alias("jacs"), F.sum("cosine_sim").alias("sims"))
-    cells = F.lit(n) * F.col("k")
-    return sums.select("k", (F.col("hits") / cells).alias("overlap_purity"), (F.col("jacs") / cells).alias("jaccard_purity"), (F.col("sims") / cells).alias("avg_cosine"), (1 - cells / (F.lit(n) * F.lit(n - 1))).alias("reduction_ratio"))
+    cells = F.lit(float(n)) * F.col("k")  # whole numbers of 32 bits overflow from 46,342 records on
+    return sums.select("k", (F.col("hits") / cells).alias("overlap_purity"), (F.col("jacs") / cells).alias("jaccard_purity"), (F.col("sims") / cells).alias("avg_cosine"), (1 - cells / F.lit(float(n) * (n - 1))).alias("reduction_ratio"))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_queries import SF, TABLES, rows
 
-from tessera.operators import blocking
+from tessera.operators import blocking, sweep
 from tessera.plans import registry
 
 NEIGHBOURS = [
@@ -43,3 +43,11 @@ def test_many_products_change_no_result(spark, monkeypatch, name):
     if not sql:
         got, sql = got[["src_id", "cand_id"]], f"SELECT src_id, cand_id FROM ({registry.ORACLE_SQL['knn_tfidf_top20']})"
     assert len(got) and rows(got) == rows(duck.sql(sql).df())
+
+
+def test_sweep_over_more_records_than_a_small_square(spark):
+    """46,400 squared is beyond 32 bits."""
+    n = 46_400
+    m = spark.createDataFrame([(i, f"alpha beta w{i}" if i < 3 else "") for i in range(n)], "id1 long, affil1 string")
+    row = sweep.k_sweep(m, (5,)).first()
+    assert row["reduction_ratio"] == pytest.approx(1 - 5 / (n - 1), abs=1e-12) and row["avg_cosine"] == pytest.approx(6 / (5 * n), abs=1e-9)
