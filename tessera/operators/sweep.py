@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from tessera.functions.text import find_acronyms, sweep_tokens, vector_tokens, word_ngrams
 from tessera.operators.blocking import BROADCAST_TEXT, gram_vectors, neighbours
 from tessera.operators.components import checkpointed
-from tessera.operators.tfidf import term_counts, vocabulary
+from tessera.operators.tfidf import vocabulary
 
 KS = (5, 10, 20, 30, 40, 50, 75, 100)
 
 
 def sweep_vocabulary(records: DataFrame, min_df: int = 2, max_df: float = 0.99) -> DataFrame:
-    return vocabulary(term_counts(records, word_ngrams(vector_tokens(F.col("affil1")))), F.lit(records.count()), min_df, max_df)
+    """A record's terms are told apart where its text is, so texts are dealt out by id, and only counts of terms by term."""
+    texts = records.groupBy("id1").agg(F.collect_list("affil1").alias("texts"))
+    terms = F.array_distinct(F.flatten(F.transform("texts", lambda t: word_ngrams(vector_tokens(t)))))
+    return vocabulary(texts.select(F.explode(terms).alias("term")), F.lit(records.count()), min_df, max_df)
 
 
 def auto_stopwords(vocab: DataFrame, n: int, quantile: float = 0.20, share: float = 0.20) -> DataFrame:
@@ -35,14 +38,16 @@ def important_tokens(records: DataFrame, vocab: DataFrame, stop: DataFrame) -> D
 def k_sweep(records: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """(k, overlap_purity, jaccard_purity, avg_cosine, reduction_ratio) for each k below the number of records.
 
-    The neighbours are ranked once, to the greatest k, and summed by rank; every
+    The vocabulary is counted once, and its shuffles are released before the
+    neighbours. These are ranked once, to the greatest k, and summed by rank; every
     k reads a prefix. Token sets of up to BROADCAST_TEXT bytes go to the pairs.
     """
     n = records.count()
     ks = tuple(k for k in ks if k < n)
-    vocab = sweep_vocabulary(records)
-    near = neighbours(gram_vectors(records, word_ngrams(vector_tokens(F.col("affil1"))), 0.99), max(ks))
+    vocab = checkpointed(sweep_vocabulary(records))
     tokens = checkpointed(important_tokens(records, vocab, auto_stopwords(vocab, n)).groupBy("id").agg(F.collect_set(F.xxhash64("term")).alias("terms")))
+    del vocab
+    near = neighbours(gram_vectors(records, word_ngrams(vector_tokens(F.col("affil1"))), 0.99), max(ks))
     a, b = tokens.select(F.col("id").alias("src_id"), F.col("terms").alias("ta")), tokens.select(F.col("id").alias("cand_id"), F.col("terms").alias("tb"))
     if (tokens.agg(F.sum(8 * F.size("terms") + 40)).first()[0] or 0) <= BROADCAST_TEXT:
         a, b = F.broadcast(a), F.broadcast(b)
